@@ -6,10 +6,10 @@ import importlib
 
 _QUERIES = {
     "op1_simhash_pivots": "simhash_pivots",
-    "op2_progressive_jpeg": "progressive_jpeg",
-    "op3_soft_mixing": "soft_mixing",
-    "op4_byte_cnn": "byte_cnn",
-    "op5_clause_grammar": "clause_grammar",
+#    "op2_progressive_jpeg": "progressive_jpeg",
+#    "op3_soft_mixing": "soft_mixing",
+#    "op4_byte_cnn": "byte_cnn",
+#    "op5_clause_grammar": "clause_grammar",
     "op6_decontaminate": "decontaminate",
     "op7_line_spread": "line_spread",
     "op8_hash_tree": "hash_tree",

@@ -1,99 +1,142 @@
 """Substring dedup over sliding spans of sentences.
 
-Every run of SPAN consecutive sentences of a text is hashed; equal hashes of different places are repeated spans. The
+Every run of SPAN consecutive sentences of a text (of more, until it has MIN_WORDS words) is hashed; equal hashes of different places are repeated spans. The
 first place (smallest document, then position) keeps its sentences; at every other place all sentences of the span are
-removed. Two aggregations find the repeated spans and their first places, so a span that a third of all documents share
-is combined before it is shuffled.
+removed. The first places come from an aggregation, so a span that a third of all documents share is combined before it
+is shuffled; the join back to the places is one whose large partitions Spark can split.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from weft.checkpointing import cut
-from weft.llm._common import table
+from weft.llm._common import bound_batches, table
 
 SPAN = 3
-#: A span with fewer words than this is chance or a phrase, not a passage.
-MIN_WORDS = 12
-#: A sentence ends after . ! ? or a newline, with the blanks that follow it.
-BOUNDARY = r"(?<=[.!?]\s)(?=\S)|(?<=\n)(?=[^\n])"
-
-
-def sentences(text: Column) -> Column:
-    """Pieces that joined give the text back."""
-    return F.split(F.coalesce(text.cast("string"), F.lit("")), BOUNDARY, -1)
-
-
-def _normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"\s+", " "))
-
-
-def _spans(keyed: DataFrame, span: int, min_words: int) -> DataFrame:
-    """(d, k, pos, h1, h2): one row for each hashed run."""
-    normal = keyed.select("d", "k", F.transform(sentences(F.col("text")), _normal).alias("s")).filter(F.size("s") >= span)
-    words = F.transform("s", lambda x: F.size(F.split(x, " ")))
-    per = normal.select("d", "k", "s", words.alias("w"))
-    runs = F.transform(
-        F.sequence(F.lit(0), F.size("s") - span),
-        lambda i: F.struct(
-            i.alias("pos"),
-            F.xxhash64(*[F.get("s", i + j) for j in range(span)]).alias("h1"),
-            F.xxhash64(F.lit("second"), *[F.get("s", i + j) for j in range(span)]).alias("h2"),
-            sum((F.get("w", i + j) for j in range(1, span)), F.get("w", i)).alias("n"),
-        ),
-    )
-    return per.select("d", "k", F.explode(F.filter(runs, lambda r: r["n"] >= min_words)).alias("r")).select("d", "k", "r.pos", "r.h1", "r.h2")
+#: A run with fewer words is chance or a phrase, not a passage: it goes on until it has as many.
+MIN_WORDS = 20
+#: A sentence ends with . ! or ? and the blanks after it, or with a newline.
+END = re.compile(r"[.!?]+\s+|\n+")
+#: What is longer than LONG characters without such an end is cut after commas, and if need be after every tenth word.
+LONG, COMMA, TENTH = 400, re.compile(r"[,;:]+\s+"), re.compile(r"(?:\S+\s+){10}")
+_RANGES = "array<struct<start:int,end:int>>"
+
+
+def _cut(text: str, a: int, b: int, ends: list[re.Pattern]) -> list[int]:
+    if b - a <= LONG or not ends:
+        return [b]
+    inner = [m.end() for m in ends[0].finditer(text, a, b)]
+    out = []
+    for x, y in zip([a, *inner], [*inner, b], strict=True):
+        if y > x:
+            out += _cut(text, x, y, ends[1:])
+    return out
+
+
+def bounds(text: str) -> list[int]:
+    """0, the end of each sentence, ..., len(text); one number for an empty text."""
+    out = [0]
+    for end in (*(m.end() for m in END.finditer(text)), len(text)):
+        if end > out[-1]:
+            out += [end] if end - out[-1] <= LONG else _cut(text, out[-1], end, [COMMA, TENTH])
+    return out
+
+
+def _words(text: str, at: list[int]) -> list[list[str]]:
+    return [text[a:b].lower().split() for a, b in zip(at, at[1:], strict=False)]
+
+
+def _ends(words: list[list[str]], span: int, min_words: int) -> np.ndarray:
+    """For each sentence, the end of the run that starts there: at least span sentences and min_words words."""
+    length = np.cumsum([0, *map(len, words)])
+    return np.maximum(np.arange(len(words)) + span, np.searchsorted(length, length[:-1] + min_words))
+
+
+def span_hashes(text: str | None, span: int = SPAN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the hashed runs, and two 64-bit hashes of each."""
+    words = _words(text or "", bounds(text or ""))
+    ends = _ends(words, span, min_words) if words else np.zeros(0, np.int64)
+    pos = np.flatnonzero(ends <= len(words))
+    parts = [" ".join(w).encode("utf-8", "surrogatepass") for w in words]
+    runs = [b" ".join(parts[i:e]) for i, e in zip(pos, ends[pos], strict=True)]
+    h1 = np.fromiter((xxh64_intdigest(r, 1) for r in runs), np.uint64, len(runs)).view(np.int64)
+    h2 = np.fromiter((xxh64_intdigest(r, 2) for r in runs), np.uint64, len(runs)).view(np.int64)
+    return pos.astype(np.int32), h1, h2
+
+
+def cleaned(text: str | None, starts: list[int] | None, span: int = SPAN, min_words: int = MIN_WORDS) -> tuple[int, list[int], list[dict], str | None]:
+    """Sentences, numbers of those removed, character ranges removed, and what is left if anything was removed."""
+    at = bounds(text or "")
+    if starts is None or not len(starts):
+        return len(at) - 1, [], [], None
+    gone = np.zeros(len(at) - 1, bool)
+    ends = _ends(_words(text, at), span, min_words)
+    for i in starts:
+        gone[i : ends[i]] = True
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
+    ranges = [{"start": at[a], "end": at[b]} for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    left = "".join(text[at[i] : at[i + 1]] for i in np.flatnonzero(~gone))
+    return len(gone), np.flatnonzero(gone).tolist(), ranges, left
+
+
+def _hashed(text: Column, span: int, min_words: int) -> Column:
+    @F.pandas_udf("pos array<int>, h1 array<long>, h2 array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([span_hashes(t, span, min_words) for t in texts], columns=["pos", "h1", "h2"])
+
+    return of(text.cast("string"))
+
+
+def _cleaned(text: Column, starts: Column, span: int, min_words: int) -> Column:
+    @F.pandas_udf(f"n int, removed array<int>, ranges {_RANGES}, clean string")
+    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, lists in batches:
+            yield pd.DataFrame([cleaned(t, s, span, min_words) for t, s in zip(texts, lists, strict=True)], columns=["n", "removed", "ranges", "clean"])
+
+    return of(text.cast("string"), starts)
 
 
 def remove_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
-    """df with ``_removed`` (sorted sentence numbers from 0), ``_spans`` (character ranges removed) and ``_clean``.
+    """df with one more column ``_spans``: struct n (sentences), removed (sorted sentence numbers from 0), ranges
+    (removed character ranges) and clean (the text that is left, null if the text is null).
 
     Documents are ordered by id, nulls last, then by the hash of the text; rows with equal id and text are one document
-    and get the same result. Within a document a later repeat of an own span is removed too, unless it overlaps nothing
-    but itself. Sentences are compared in lower case with blanks collapsed; what is kept is unchanged, byte for byte.
-    Null texts have no sentences and a null ``_clean``. Other columns pass through.
+    and get the same result. A later repeat inside the same document is removed as well. Sentences are compared in
+    lower case with blanks collapsed; what is kept is unchanged, character for character. Null and empty texts and
+    those with fewer sentences than a span lose nothing. Other columns pass through; a column ``_spans`` is replaced.
     """
-    kept = [c for c in df.columns if c not in ("_removed", "_spans", "_clean")]
+    bound_batches(df.sparkSession)
+    kept = [c for c in df.columns if c != "_spans"]
     keyed = df.select(F.col(id_col).alias("d"), F.xxhash64(F.col(text_col)).alias("k"), F.col(text_col).alias("text")).filter("text is not null")
-    spans = _spans(keyed, span, min_words)
+    hashed = keyed.select("d", "k", _hashed(F.col("text"), span, min_words).alias("s")).select("d", "k", F.explode(F.arrays_zip("s.pos", "s.h1", "s.h2")).alias("s"))
+    spans = hashed.select("d", "k", "s.pos", "s.h1", "s.h2")
     place = F.struct(F.col("d").isNull().alias("z"), F.col("d").alias("d"), F.col("k").alias("k"), F.col("pos").alias("p"))
-    repeated = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("h1", "h2", "first")
+    repeated = spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("h1", "h2", "first")
     repeated = cut(repeated, "repeated")
-    later = spans.join(repeated, ["h1", "h2"]).filter(place != F.col("first")).select("d", "k", "pos")
-    marks = later.distinct().groupBy("d", "k").agg(F.collect_list("pos").alias("at"))
+    later = spans.join(repeated, ["h1", "h2"]).filter(place != F.col("first")).select(F.col("d").alias("_d"), F.col("k").alias("_mk"), "pos")
+    marks = later.groupBy("_d", "_mk").agg(F.collect_set("pos").alias("_at"))  # as many as the text has sentences
     source = df.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(F.col(text_col)).alias("_k"))
-    found = marks.select(F.col("d").alias("_d"), F.col("k").alias("_mk"), F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + span - 1))))).alias("_removed"))
-    joined = source.join(found, source[id_col].eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_mk")), "left")
-    removed = F.coalesce("_removed", F.array().cast("array<int>"))
-    return (
-        joined.withColumn("_removed", removed)
-        .withColumn("_s", F.when(F.size("_removed") > 0, sentences(F.col(text_col))))
-        .select(
-            *[F.col(f"`{c}`") for c in kept],
-            "_removed",
-            F.coalesce(_ranges(F.col("_s"), F.col("_removed")), F.array().cast("array<struct<start:int,end:int>>")).alias("_spans"),
-            F.when(F.col("_s").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter("_s", lambda s, i: ~F.array_contains("_removed", i)), "")).alias("_clean"),
-        )
-    )
-
-
-def _ranges(pieces: Column, removed: Column) -> Column:
-    """Character ranges of runs of removed sentences, from the lengths of what stands before them."""
-    starts = F.filter(removed, lambda i: ~F.array_contains(removed, i - 1))
-    ends = F.filter(removed, lambda i: ~F.array_contains(removed, i + 1))
-    upto = lambda n: F.aggregate(F.slice(pieces, F.lit(1), n), F.lit(0), lambda a, s: a + F.char_length(s))
-    return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda r: F.struct(upto(r["a"]).alias("start"), upto(r["b"] + 1).alias("end")))
+    joined = source.join(marks, source[id_col].eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_mk")), "left")
+    done = joined.withColumn("_x", _cleaned(F.col(text_col), F.col("_at"), span, min_words))
+    return done.select(*[F.col(f"`{c}`") for c in kept], F.struct("_x.n", "_x.removed", "_x.ranges", F.coalesce("_x.clean", F.col(text_col)).alias("clean")).alias("_spans"))
 
 
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         "doc_id",
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(sentences(F.col("text")))).cast("long").alias("n_sentences"),
-        F.size("_removed").cast("long").alias("n_removed"),
-        F.array_join(F.transform("_spans", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",").alias("removed_ranges"),
-        (F.coalesce(F.char_length("text"), F.lit(0)) - F.coalesce(F.char_length("_clean"), F.lit(0))).cast("long").alias("removed_chars"),
-        F.sha2(F.coalesce("_clean", F.lit("")), 256).alias("clean_sha256"),
+        F.col("_spans.n").cast("long").alias("n_sentences"),
+        F.size("_spans.removed").cast("long").alias("n_removed"),
+        F.array_join(F.transform("_spans.ranges", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",").alias("removed_ranges"),
+        (F.coalesce(F.char_length("text"), F.lit(0)) - F.coalesce(F.char_length("_spans.clean"), F.lit(0))).cast("long").alias("removed_chars"),
+        F.sha2(F.coalesce("_spans.clean", F.lit("")), 256).alias("clean_sha256"),
     )
