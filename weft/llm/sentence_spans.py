@@ -20,7 +20,7 @@ from xxhash import xxh64_intdigest
 from weft.checkpointing import cut
 from weft.llm._common import bound_batches, table
 
-SPAN = 3
+SPAN = 2
 #: A run with fewer words is chance or a phrase, not a passage: it goes on until it has as many.
 MIN_WORDS = 20
 #: A sentence ends with . ! or ? and the blanks after it, or with a newline.
