@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.shipping import ship
+
 #: Upper limits for one Arrow batch on its way to a Python worker: texts differ in length by orders of magnitude, so
 #: a limit on rows alone would not bound memory.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
@@ -17,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for whole texts of any length."""
+    """Keep Arrow batches small enough for whole texts of any length, and make the package known to workers."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
