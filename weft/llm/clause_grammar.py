@@ -35,8 +35,9 @@ SEEDS = {
     NEGATION: "not no never isn't aren't wasn't don't doesn't didn't cannot can't nicht kein keine nie pas jamais non nunca jamás".split(),
     REPORT: "said says say claimed claims called reported wrote quoted quote according alleged sagte sagt dit disait dijo dice".split(),
 }
-#: Words learned from labels: in toxic texts at least LEAST times, and this many times as often there as elsewhere.
-LEAST, RATIO, LEARNED = 4, 25.0, 2000
+#: Words learned from labels: in at least LEAST toxic texts and this share of them, and RATIO times as often there as
+#: elsewhere. Rarer words go together with toxic texts by chance or by copies.
+LEAST, SHARE, RATIO, LEARNED = 4, 0.02, 25.0, 2000
 #: Labelled documents whose three numbers the regression is fitted on.
 FITTED = 50_000
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
@@ -162,7 +163,7 @@ def learn_words(labelled: DataFrame, text_col: str, label_col: str) -> dict[str,
         return {}
     counts = labelled.select(toxic.alias("y"), word).groupBy("w").agg(F.sum(F.col("y").cast("long")).alias("a"), F.sum((~F.col("y")).cast("long")).alias("b"))
     ratio = (F.col("a") / float(t)) / ((F.col("b") + 0.5) / float(c))
-    rows = counts.filter((F.col("a") >= LEAST) & (ratio >= RATIO)).select("w", ratio.alias("r")).orderBy(F.desc("r"), "w").limit(LEARNED).collect()
+    rows = counts.filter((F.col("a") >= max(LEAST, SHARE * t)) & (ratio >= RATIO)).select("w", ratio.alias("r")).orderBy(F.desc("r"), "w").limit(LEARNED).collect()
     return {r["w"]: min(2.0, math.log(r["r"]) / math.log(RATIO)) for r in rows}
 
 
