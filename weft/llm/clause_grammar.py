@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.checkpointing import cut
 from weft.llm._common import bound_batches, table
 from weft.llm.byte_cnn import held_out
 
@@ -37,9 +37,9 @@ SEEDS = {
 }
 #: Words learned from labels: in at least LEAST toxic texts and this share of them, and RATIO times as often there as
 #: elsewhere. Rarer words go together with toxic texts by chance or by copies.
-LEAST, SHARE, RATIO, LEARNED = 4, 0.02, 25.0, 2000
-#: Labelled documents whose three numbers the regression is fitted on.
-FITTED = 50_000
+LEAST, SHARE, RATIO, LEARNED = 4, 0.008, 25.0, 2000
+#: Labelled documents, by a hash of their ids, that lexicon and regression are fitted on.
+FITTED = 20_000
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
 THRESHOLD = 0.7
@@ -153,15 +153,21 @@ def numbers(text: str | None, words: dict, machine) -> tuple[float, float, float
     return math.log1p(total), max(scores, default=0.0), min(1.0, 20 * total / max(20, n))
 
 
-def learn_words(labelled: DataFrame, text_col: str, label_col: str) -> dict[str, float]:
-    """Words typical of toxic texts, from counts of documents over all labelled rows. The result is bounded by LEARNED."""
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\p{L}+"), 0))).alias("w")
-    toxic = F.col(label_col) == 1
-    all_rows = labelled.agg(F.sum(F.when(toxic, 1).otherwise(0)).alias("t"), F.sum(F.when(toxic, 0).otherwise(1)).alias("c")).first()
-    t, c = all_rows["t"] or 0, all_rows["c"] or 0
+def learn_words(sample: DataFrame) -> dict[str, float]:
+    """Words typical of toxic texts, from counts of documents (text, y) of the sample. The result is bounded by LEARNED.
+
+    Copies and near copies would make any word of a toxic text typical, so of the documents whose smallest hash of
+    three words in a row is the same only one counts.
+    """
+    words = sample.select("y", F.xxhash64("text").alias("h"), F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"\p{L}+"), 0).alias("w"))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
+    one = words.select("y", "h", F.array_distinct("w").alias("w"), F.array_min(runs).alias("key")).groupBy("key").agg(F.min(F.struct("h", "y", "w")).alias("d")).select("d.y", "d.w")
+    toxic = F.col("y") == 1
+    totals = one.agg(F.sum(F.when(toxic, 1).otherwise(0)).alias("t"), F.sum(F.when(toxic, 0).otherwise(1)).alias("c")).first()
+    t, c = totals["t"] or 0, totals["c"] or 0
     if not t or not c:
         return {}
-    counts = labelled.select(toxic.alias("y"), word).groupBy("w").agg(F.sum(F.col("y").cast("long")).alias("a"), F.sum((~F.col("y")).cast("long")).alias("b"))
+    counts = one.select(toxic.cast("long").alias("y"), F.explode("w").alias("w")).groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     ratio = (F.col("a") / float(t)) / ((F.col("b") + 0.5) / float(c))
     rows = counts.filter((F.col("a") >= max(LEAST, SHARE * t)) & (ratio >= RATIO)).select("w", ratio.alias("r")).orderBy(F.desc("r"), "w").limit(LEARNED).collect()
     return {r["w"]: min(2.0, math.log(r["r"]) / math.log(RATIO)) for r in rows}
@@ -206,13 +212,24 @@ def _numbers(text: Column, words: dict, spark: SparkSession) -> Column:
     return of(text.cast("string"))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", order_col: str = "doc_id") -> Scorer:
-    """Lexicon from all labelled rows; weights from at most FITTED of them, chosen by a hash of the id."""
-    spark = labelled.sparkSession
-    known = labelled.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    words = lexicon(learn_words(known, text_col, label_col))
-    x = known.select(F.col(label_col).cast("double").alias("y"), F.xxhash64(F.col(order_col).cast("string")).alias("o"), _numbers(F.col(text_col), words, spark).alias("n"))
-    rows = x.select("y", "n.a", "n.b", "n.c", "o").orderBy("o", "y", "a", "b", "c").limit(FITTED).toPandas()
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, bound: int = FITTED) -> DataFrame:
+    """(o, y, text) of at most ``bound`` labelled ids, the first by a hash of the id; each is its largest label.
+
+    The chosen labels are broadcast: two numbers for each of at most ``bound`` rows.
+    """
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("double").alias("y"))
+    chosen = known.withColumn("o", F.xxhash64(F.lit("fit"), F.col("i").cast("string"))).orderBy("o", "i").limit(bound)
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).filter("text is not null")
+    return cut(texts.join(F.broadcast(chosen), "i").select("o", "y", "text"), "sample")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
+    """Lexicon and weights from a bounded sample of labelled documents."""
+    spark = docs.sparkSession
+    sample = labelled_sample(docs, labels, id_col, text_col, label_col)
+    words = lexicon(learn_words(sample))
+    x = sample.select("o", "y", F.xxhash64("text").alias("h"), _numbers(F.col("text"), words, spark).alias("n"))
+    rows = x.select("y", "n.a", "n.b", "n.c", "o", "h").toPandas().sort_values(["o", "h", "y", "a"], ignore_index=True)
     if rows["y"].nunique() < 2:
         return Scorer(words, DEFAULT)
     return Scorer(words, _fit(rows[["a", "b", "c"]].to_numpy(float), (rows["y"] > 0).to_numpy(float)))
@@ -230,8 +247,8 @@ def score_toxicity(df: DataFrame, scorer: Scorer, text_col: str = "text", out: s
 
 def op5_clause_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    marks = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out(F.col("doc_id"), 3, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out(F.col("doc_id"), 3, 1))
     bound_batches(spark)
-    scorer = fit(docs.join(marks, "doc_id"))
+    scorer = fit(docs, labels)
     out = score_toxicity(docs.withColumn("held_out", held_out(F.col("doc_id"), 3, 1)), scorer)
     return out.select("doc_id", "held_out", "_toxicity.score", (F.col("_toxicity.score") >= THRESHOLD).cast("int").alias("predicted"))
