@@ -8,8 +8,8 @@ or a threat; a clause's score is the weight of its path. So what counts is the m
 "he said: idiot" weigh less than "you idiot".
 
 The insults come from a seed list and from words that labelled rows show to be typical of toxic texts; a logistic
-regression on three numbers of a document (the sum of its clause scores on a logarithmic scale, the largest, and the
-sum up to 1) makes the score.
+regression on three numbers of a document (the sum of its clause scores on a logarithmic scale, the largest, and twice
+the sum up to 1) makes the score.
 """
 
 from __future__ import annotations
@@ -151,7 +151,7 @@ def _path(marked: list[tuple[str, float]], machine) -> float:
 def numbers(text: str | None, words: dict, machine) -> tuple[float, float, float]:
     _, scores = clause_scores(text, words, machine)
     total = sum(scores)
-    return math.log1p(total), max(scores, default=0.0), min(1.0, total)
+    return math.log1p(total), max(scores, default=0.0), min(1.0, 2 * total)
 
 
 def learn_words(sample: DataFrame) -> dict[str, float]:

@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
 from weft.checkpointing import cut
@@ -155,13 +156,17 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     All columns pass through. Repeated rows with equal id and text are one row afterwards.
     """
     labelled = near_duplicates(df, id_col, text_col)
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
-    best = labelled.groupBy("component_id").agg(F.min(order).alias("o")).filter("component_id is not null").select(F.col("o.doc_id").alias("_i"), F.col("o.text_hash").alias("_h"))
-    without_id = labelled.filter("component_id is null").groupBy("f").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("_i"), F.col("o.text_hash").alias("_h"))
-    chosen = best.unionByName(without_id).distinct()
-    keyed = df.withColumn("_weft_h", F.xxhash64(F.col(text_col)))
-    kept = keyed.join(chosen, keyed[id_col].eqNullSafe(F.col("_i")) & (F.col("_weft_h") == F.col("_h")), "left_semi")
-    return kept.dropDuplicates([id_col, "_weft_h"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
+    group = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("f")))
+    chosen = labelled.groupBy(group.alias("g")).agg(F.min(order).alias("o")).select(_key(F.col("o.i")).alias("_weft_i"), F.col("o.h").alias("_weft_h"))
+    keyed = df.withColumns({"_weft_i": _key(F.col(id_col)), "_weft_h": F.xxhash64(F.col(text_col))})
+    kept = keyed.join(chosen.distinct(), ["_weft_i", "_weft_h"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("_weft_i", "_weft_h").orderBy("_weft_h"))
+    return kept.withColumn("_weft_n", first).filter("_weft_n = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _key(column: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
 
 
 def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
