@@ -24,10 +24,10 @@ def _lines(text: Column) -> Column:
 
 
 def _exploded(texts: DataFrame) -> DataFrame:
-    """(k1, k2 of the text, pos, h1, h2 of the trimmed line, site) for each line with a visible character."""
-    lines = texts.select("k1", "k2", "site", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).withColumn("line", F.trim("line"))
+    """(d, k of the document, pos, h1, h2 of the trimmed line, site) for each line with a visible character."""
+    lines = texts.select("d", "k", "site", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).withColumn("line", F.trim("line"))
     h1, h2 = text_key(F.col("line"))
-    return lines.filter("line <> ''").select("k1", "k2", "site", "pos", h1.alias("h1"), h2.alias("h2"))
+    return lines.filter("line <> ''").select("d", "k", "site", "pos", h1.alias("h1"), h2.alias("h2"))
 
 
 def spread_lines(lines: DataFrame, sites: int = SITES, lg_k: int = LG_K, sigmas: float = SIGMAS) -> DataFrame:
@@ -46,21 +46,22 @@ def spread_lines(lines: DataFrame, sites: int = SITES, lg_k: int = LG_K, sigmas:
     return sure.unionByName(exact)
 
 
-def remove_spread_lines(df: DataFrame, text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:
+def remove_spread_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:
     """df with two more columns: ``_removed``, sorted positions (from 0) of lines removed, and ``_clean``, the rest.
 
     Lines are compared without surrounding blanks; blank lines are never removed, nor are a text's other characters
     changed. A null text has no lines and a null ``_clean``; a null site doesn't count as a site, yet its documents lose
-    spread lines too. Equal texts have equal results, so repeated rows need no care. Other columns pass through.
+    spread lines too. Rows with equal id and text have equal results, whether ids repeat or are null. Other columns
+    pass through.
     """
     kept = [c for c in df.columns if c not in ("_removed", "_clean")]
-    k1, k2 = text_key(F.col(text_col))
-    texts = df.select(F.col(text_col).alias("text"), F.col(site_col).cast("string").alias("site"), k1.alias("k1"), k2.alias("k2")).filter("text is not null")
+    key = F.xxhash64(F.col(text_col))
+    texts = df.select(F.col(id_col).alias("d"), key.alias("k"), F.col(text_col).alias("text"), F.col(site_col).cast("string").alias("site")).filter("text is not null")
     lines = _exploded(texts)
     spread = cut(spread_lines(lines.select("h1", "h2", "site"), sites), "spread")
-    hits = lines.join(spread, ["h1", "h2"], "left_semi").select("k1", "k2", "pos").distinct().groupBy("k1", "k2").agg(F.array_sort(F.collect_list("pos")).alias("_removed"))
-    keyed = df.select(*[F.col(f"`{c}`") for c in kept], k1.alias("_k1"), k2.alias("_k2"))
-    joined = keyed.join(hits.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_removed"), ["_k1", "_k2"], "left")
+    hits = lines.join(spread, ["h1", "h2"], "left_semi").groupBy(F.col("d").alias("_d"), F.col("k").alias("_k")).agg(F.array_sort(F.collect_set("pos")).alias("_removed"))
+    keyed = df.select(*[F.col(f"`{c}`") for c in kept], key.alias("_text_key"))
+    joined = keyed.join(hits, keyed[id_col].eqNullSafe(F.col("_d")) & (F.col("_text_key") == F.col("_k")), "left")
     removed = F.coalesce("_removed", F.array().cast("array<int>"))
     wanted = F.array_join(F.filter(_lines(F.col(text_col)), lambda line, i: ~F.array_contains(removed, i)), "\n")
     return joined.select(*[F.col(f"`{c}`") for c in kept], removed.alias("_removed"), F.when(F.size(removed) == 0, F.col(text_col)).otherwise(wanted).alias("_clean"))
