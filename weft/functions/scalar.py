@@ -34,8 +34,8 @@ def float_text(c: Column) -> Column:
     raw = c.cast("string")
     digits = F.regexp_replace(F.regexp_extract(raw, r"^-?([0-9.]+)", 1), r"\.0$", "")
     exponent = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(raw, r"E(-?\d+)$", 1), F.lit("")), F.lit("S999")).cast("int"), F.lit(0))
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.20f", F.abs(c)), r"0+$", ""), r"\.$", ".0")
-    exact = F.when(F.abs(c) >= 1, F.concat(F.abs(c).cast("decimal(38,0)").cast("string"), F.lit(".0"))).otherwise(plain)
+    figures, whole = F.replace(digits, F.lit(".")), exponent + 1
+    exact = F.when(F.length(figures) <= whole, F.concat(F.rpad(figures, whole, F.lit("0")), F.lit(".0"))).otherwise(F.concat(F.substring(figures, F.lit(1), whole), F.lit("."), F.substring(figures, whole + 1, F.length(figures))))
     power = F.concat(digits, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")))
     body = F.when(exponent == 0, F.regexp_extract(raw, r"^-?(.*)$", 1)).when((F.abs(c) >= 1e-4) & (F.abs(c) < 1e21), F.when(F.abs(c) >= 1, exact).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), F.replace(digits, F.lit(".")))))
     body = body.otherwise(power)

@@ -87,7 +87,7 @@ def compare(op: str, a: Value, b: Value) -> Value:
         return null
     x, y = a.col, b.col
     if a.kind != b.kind:
-        small = lambda v: v.known and abs(v.const) <= 1 << 53
+        small = lambda v: v.known and abs(v.const) < 1 << 53
         if small(a) or small(b):
             x, y = _floats(a, b)
         else:

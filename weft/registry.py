@@ -18,8 +18,8 @@ CATALOG: dict[str, tuple[str, str | None]] = {
     "index_eq_map": ('MATCH (c:Customer {mktsegment: "BUILDING", nationkey: 3}) RETURN c.custkey AS ck', "SELECT c_custkey AS ck FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3"),
     "declared_index": ("CREATE INDEX by_size FOR (p:Part) ON (p.size); MATCH (p:Part) WHERE p.size = 7 RETURN p.partkey AS pk", "SELECT p_partkey AS pk FROM part WHERE p_size = 7"),
     "range_filter": ("MATCH (p:Part) WHERE p.size >= 10 AND p.size < 12 RETURN p.partkey AS pk, p.size AS size", "SELECT p_partkey AS pk, CAST(p_size AS BIGINT) AS size FROM part WHERE p_size >= 10 AND p_size < 12"),
-    "starts_with": ('MATCH (n:Nation) WHERE n.name STARTS WITH "I" RETURN n.name AS name', "SELECT n_name AS name FROM nation WHERE n_name LIKE 'I%'"),
-    "ends_contains": ('MATCH (n:Nation) WHERE n.name ENDS WITH "A" OR n.name CONTAINS "AN" RETURN n.name AS name', "SELECT n_name AS name FROM nation WHERE n_name LIKE '%A' OR n_name LIKE '%AN%'"),
+    "starts_with": ('MATCH (n:Nation) WHERE n.name STARTS WITH "NATION_1" RETURN n.name AS name', "SELECT n_name AS name FROM nation WHERE starts_with(n_name, 'NATION_1')"),
+    "ends_contains": ('MATCH (n:Nation) WHERE n.name ENDS WITH "3" OR n.name CONTAINS "_2" RETURN n.name AS name', "SELECT n_name AS name FROM nation WHERE ends_with(n_name, '3') OR contains(n_name, '_2')"),
     "in_list": ("MATCH (o:Order) WHERE o.orderpriority IN [\"1-URGENT\", \"2-HIGH\"] RETURN o.orderpriority AS p, count(*) AS n", "SELECT o_orderpriority AS p, count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1"),
     "null_predicates": ("MATCH (n) WHERE n.acctbal IS NULL AND n.nationkey IS NOT NULL RETURN n.nationkey AS nk", "SELECT CAST(n_nationkey AS BIGINT) AS nk FROM nation"),
     "case_when": ('MATCH (p:Part) RETURN CASE WHEN p.size < 10 THEN "small" WHEN p.size < 30 THEN "medium" ELSE "large" END AS class, count(*) AS n', "SELECT CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS class, count(*) AS n FROM part GROUP BY 1"),
@@ -116,7 +116,7 @@ CATALOG: dict[str, tuple[str, str | None]] = {
     "explain_plan": ("EXPLAIN MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE o.totalprice > 200000 RETURN c.mktsegment AS segment, count(*) AS n", None),
     # the older line language
     "legacy_match": ("MATCH Nation WHERE nationkey > 20", "SELECT CAST(2 * 1099511627776 + n_nationkey AS BIGINT) AS n FROM nation WHERE n_nationkey > 20"),
-    "legacy_edges": ("EDGES 2199023255555 TO 1099511627777", "SELECT CAST(1099511627776 + n_nationkey AS BIGINT) AS e FROM nation WHERE n_nationkey = 3 AND n_regionkey = 1"),
+    "legacy_edges": ("EDGES 2199023255555 TO 1099511627779", "SELECT CAST(1099511627776 + n_nationkey AS BIGINT) AS e FROM nation WHERE n_nationkey = 3 AND n_regionkey = 3"),
     "legacy_neighbors": ("NEIGHBORS 2199023255552 DEPTH 2", "SELECT CAST(1099511627776 + n_regionkey AS BIGINT) AS m FROM nation WHERE n_nationkey = 0"),
 }
 FLAGSHIP = "one_hop"
