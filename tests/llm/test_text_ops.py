@@ -32,7 +32,7 @@ def test_decontamination(spark, docs):
     rng = random.Random(1)
     vocab = ["Alpha", "beta", "gámma", "d4", "É", "x"]
     items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([0, 2, 5, 12, 14])))) for i in range(12)] + [(90, None), (None, "beta beta")]
-    rows = [*EDGE, *((100 + i, ", ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 300)))) for i in range(25)), *((200 + i, f"start! {t} end") for i, t in items if t)]
+    rows = [*EDGE, *((100 + i, ", ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 300)))) for i in range(25)), *((200 + n, f"start! {t} end") for n, (_, t) in enumerate(items) if t)]
     frame = spark.createDataFrame(items, "item_id bigint, text string")
     known = [(i, t) for i, t in items if i is not None]
     for limit in (decontaminate.AUTOMATON_BYTES, 200):  # one automaton, and one after the other

@@ -561,9 +561,9 @@ def decode_coefficients(tiles: list[tuple[bytes, Image]]) -> np.ndarray:
     return coefs
 
 
-#: The inverse transform's matrix in 13-bit fixed point. Held as floats, all products and sums are whole numbers below
+#: The inverse transform's matrix in 15-bit fixed point. Held as floats, all products and sums are whole numbers below
 #: 2**53, so results are exact and don't depend on the order in which a matrix product adds them.
-_COS = np.round(np.cos((2 * np.arange(8)[None, :] + 1) * np.arange(8)[:, None] * np.pi / 16) * np.where(np.arange(8) == 0, np.sqrt(0.125), 0.5)[:, None] * 8192)
+_COS = np.round(np.cos((2 * np.arange(8)[None, :] + 1) * np.arange(8)[:, None] * np.pi / 16) * np.where(np.arange(8) == 0, np.sqrt(0.125), 0.5)[:, None] * 32768)
 
 
 def samples(coefs: np.ndarray, quantisation: np.ndarray) -> np.ndarray:
@@ -572,7 +572,7 @@ def samples(coefs: np.ndarray, quantisation: np.ndarray) -> np.ndarray:
     block[:, ZIGZAG] = coefs * quantisation
     rows = (block.reshape(-1, 8) @ _COS).reshape(-1, 8, 8).transpose(0, 2, 1)
     out = (np.ascontiguousarray(rows).reshape(-1, 8) @ _COS).reshape(-1, 8, 8).transpose(0, 2, 1)
-    return np.clip(np.floor((out + 2.0**25) / 2.0**26) + 128, 0, 255).astype(np.uint8)
+    return np.clip(np.floor((out + 2.0**29) / 2.0**30) + 128, 0, 255).astype(np.uint8)
 
 
 def all_samples(images: list[Image], coefs: np.ndarray) -> np.ndarray:
