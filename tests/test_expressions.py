@@ -81,3 +81,12 @@ def test_order(run):
     assert run("UNWIND [3, 1, 2] AS x WITH x ORDER BY x DESC LIMIT 2 RETURN collect(x) AS xs") == [([3, 2],)]
     with pytest.raises(GraphError):
         run("RETURN 1 AS x LIMIT -1")
+
+
+def test_mixed_kinds(run):
+    assert run('UNWIND [2, "b", true, null, 1.5, "a"] AS x RETURN x, typeOf(x) AS t ORDER BY x') == [(None, "null"), (True, "bool"), (1.5, "float"), (2, "int"), ("a", "string"), ("b", "string")]
+    assert run('UNWIND [2, "b", true, 1] AS x WITH x WHERE x > 1 RETURN x') == [(2,)]
+    assert run('RETURN 1 IN ["a", 1] AS a, 2 IN ["a", 1] AS b, CASE WHEN true THEN 1 ELSE "x" END AS c, coalesce(null, "a", 1) AS d, toString([1, "a"]) AS e, [1, "a"][1] IS :: STRING AS f') == [(True, None, 1, "a", '[1, "a"]', True)]
+    run('CREATE (:M {v: 1}), (:M {v: "s"}), (:M {v: false})')
+    assert run("MATCH (m:M) RETURN m.v AS v ORDER BY v") == [(False,), (1,), ("s",)]
+    assert run('MATCH (m:M) WHERE m.v = "s" RETURN count(*) AS n') == [(1,)]

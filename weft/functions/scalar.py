@@ -68,6 +68,10 @@ def as_text(v: Value) -> Column:
     if k == "map":
         parts = [F.when(v.col[n].isNotNull(), F.concat(F.lit(T.key(n) + ": "), as_text(Value(v.col[n], t)))).otherwise(F.lit(T.key(n) + ": null")) for n, t in v.type.fields]
         return F.when(v.col.isNotNull(), F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")))
+    if k == "any":
+        c = v.col
+        date = as_text(Value(F.date_from_unix_date(c["num"].cast("int")), temporal.DATE))
+        return F.when(c["kind"] == "string", go_quoted(c["text"])).when(c["kind"] == "int", c["num"].cast("bigint").cast("string")).when(c["kind"] == "float", float_text(c["num"])).when(c["kind"] == "bool", (c["num"] == 1).cast("string")).when(c["kind"] == "date", date)
     if k in ("node", "edge"):
         return F.concat(F.lit("(" if k == "node" else "["), v.col.cast("string"), F.lit(")" if k == "node" else "]"))
     return F.lit(None).cast("string")
@@ -240,6 +244,8 @@ def coalesce(*vs):
 
 
 def type_of(v):
+    if v.kind == "any":
+        return Value(F.coalesce(v.col["kind"], F.lit("null")), STRING)
     return Value(F.lit("null") if v.kind == "null" else F.when(v.col.isNull(), "null").otherwise(v.kind), STRING)
 
 

@@ -9,6 +9,8 @@ list      ARRAY
 map       STRUCT with the keys as fields
 node edge BIGINT, the id
 path      STRUCT<nodes: ARRAY<BIGINT>, edges: ARRAY<BIGINT>>
+any       STRUCT<rank: INT, num: DOUBLE, text: STRING, kind: STRING>: bools, numbers, strings and dates in one column;
+          ordered by kind, then by value. Integers above 2**53 are rounded here
 """
 
 from __future__ import annotations
@@ -32,9 +34,11 @@ class Type:
         return f"list of {self.elem}" if self.kind == "list" and self.elem else self.kind
 
 
-NULL, BOOL, INT, FLOAT, STRING, BYTES, DATE, DATETIME, DURATION, NODE, EDGE, PATH = (Type(k) for k in "null bool int float string bytes date datetime duration node edge path".split())
+NULL, BOOL, INT, FLOAT, STRING, BYTES, DATE, DATETIME, DURATION, NODE, EDGE, PATH, ANY = (Type(k) for k in "null bool int float string bytes date datetime duration node edge path any".split())
+#: Kinds that a mixed column holds, and their order.
+MIXED = {"bool": 1, "int": 2, "float": 2, "string": 3, "date": 5, "any": 0}
 NUMBERS = ("int", "float")
-_SPARK = {"null": "void", "bool": "boolean", "int": "bigint", "float": "double", "string": "string", "bytes": "binary", "date": "date", "datetime": "struct<nanos:bigint,off:int>", "duration": "struct<months:bigint,days:bigint,nanos:bigint>", "node": "bigint", "edge": "bigint", "path": "struct<nodes:array<bigint>,edges:array<bigint>>"}
+_SPARK = {"null": "void", "bool": "boolean", "int": "bigint", "float": "double", "string": "string", "bytes": "binary", "date": "date", "datetime": "struct<nanos:bigint,off:int>", "duration": "struct<months:bigint,days:bigint,nanos:bigint>", "node": "bigint", "edge": "bigint", "path": "struct<nodes:array<bigint>,edges:array<bigint>>", "any": "struct<rank:int,num:double,text:string,kind:string>"}
 
 
 def list_of(elem: Type) -> Type:
@@ -99,6 +103,8 @@ def unify(a: Type, b: Type, what: str = "values") -> Type:
     if a.kind == b.kind == "map":
         x, y = dict(a.fields), dict(b.fields)
         return map_of({k: unify(x.get(k, NULL), y.get(k, NULL), what) for k in {*x, *y}})
+    if a.kind in MIXED and b.kind in MIXED:
+        return ANY
     bad(f"{what} of kinds {a} and {b} can't be held in one column")
 
 
@@ -108,6 +114,10 @@ def as_type(v: Value, t: Type) -> Column:
         return v.col
     if v.kind == "null":
         return null_of(t)
+    if t.kind == "any":
+        num = F.unix_date(v.col) if v.kind == "date" else F.lit(0) if v.kind == "string" else v.col
+        tagged = F.struct(F.lit(MIXED[v.kind]).alias("rank"), num.cast("double").alias("num"), (v.col if v.kind == "string" else F.lit("")).alias("text"), F.lit(v.kind).alias("kind"))
+        return F.when(v.col.isNotNull(), tagged)
     if t.kind == "list" and t.elem and v.type.elem:
         return F.transform(v.col, lambda e: as_type(Value(e, v.type.elem), t.elem)) if v.type.elem.kind != "null" else v.col.cast(ddl(t))
     if t.kind == "map":
@@ -142,6 +152,8 @@ def from_spark(t: T.DataType) -> Type:
             return DURATION
         if names == ("nodes", "edges"):
             return PATH
+        if names == ("rank", "num", "text", "kind"):
+            return ANY
         return map_of({f.name: from_spark(f.dataType) for f in t.fields})
     if isinstance(t, T.NullType):
         return NULL

@@ -23,7 +23,7 @@ from weft.plans.rows import Rows, fresh
 from weft.sources.graph import EdgeTable, Graph, NodeTable, P
 
 COUNTERS = ("nodes_created", "nodes_deleted", "edges_created", "edges_deleted", "properties_set", "labels_added", "labels_removed", "indexes_added", "indexes_removed", "constraints_added", "constraints_removed")
-STORABLE = {"bool", "int", "float", "string", "bytes", "date", "datetime", "duration", "list", "map", "node", "edge", "null"}
+STORABLE = {"bool", "int", "float", "string", "bytes", "date", "datetime", "duration", "list", "map", "node", "edge", "null", "any"}
 
 
 @dataclass

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.errors import GraphError
 from weft.functions import scalar, temporal
-from weft.functions.values import BOOL, DATETIME, EDGE, FLOAT, INT, NODE, NULL, NUMBERS, STRING, Type, Value, as_type, bad, ddl, fail, guard, list_of, map_of, null_of, unify
+from weft.functions.values import ANY, BOOL, DATETIME, EDGE, FLOAT, INT, MIXED, NODE, NULL, NUMBERS, STRING, Type, Value, as_type, bad, ddl, fail, guard, list_of, map_of, null_of, unify
 from weft.lang import ast as A
 
 _MAY_FAIL = (A.Call, A.Param)
@@ -81,6 +81,8 @@ def compare(op: str, a: Value, b: Value) -> Value:
     null = Value(null_of(BOOL), BOOL)
     if "null" in (a.kind, b.kind):
         return null
+    if "any" in (a.kind, b.kind) and a.kind in MIXED and b.kind in MIXED:
+        return _compare_mixed(op, as_type(a, ANY), as_type(b, ANY))
     if a.kind != b.kind and not (a.kind in NUMBERS and b.kind in NUMBERS):
         return null
     if a.kind == "bool" and op not in ("=", "<>"):
@@ -103,6 +105,14 @@ def compare(op: str, a: Value, b: Value) -> Value:
     return Value(ops[op](), BOOL)
 
 
+def _compare_mixed(op: str, x: Column, y: Column) -> Value:
+    """Values of the same kind compare as ever; of others, and bools by size, the comparison is null."""
+    a, b = (F.struct(c["num"], c["text"]) for c in (x, y))
+    out = {"=": a == b, "<>": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
+    same = x["rank"] == y["rank"]
+    return Value(F.when(same if op in ("=", "<>") else same & (x["rank"] != 1), out), BOOL)
+
+
 def arithmetic(op: str, a: Value, b: Value) -> Value:
     if "null" in (a.kind, b.kind):
         t = b.type if a.kind == "null" else a.type
@@ -139,6 +149,8 @@ def arithmetic(op: str, a: Value, b: Value) -> Value:
 def boolean(v: Value, what: str) -> Column:
     if v.kind == "null":
         return null_of(BOOL)
+    if v.kind == "any":
+        return F.when(v.col.isNotNull(), guard(v.col["kind"] != "bool", f"{what} of mixed kinds", v.col["num"] == 1, BOOL))
     if v.kind != "bool":
         bad(f"{what} of a {v.kind}")
     return v.col
@@ -312,7 +324,7 @@ class Compiler:
 
     def _istype(self, x: A.IsType) -> Value:
         v = self(x.x)
-        same = v.col.isNull() if x.type == "NULL" else v.col.isNotNull() & F.lit(v.kind == x.type.lower())
+        same = v.col.isNull() if x.type == "NULL" else F.coalesce(v.col["kind"] == x.type.lower(), F.lit(False)) if v.kind == "any" else v.col.isNotNull() & F.lit(v.kind == x.type.lower())
         return Value(~same if x.negated else same, BOOL)
 
     # ----------------------------------------------------------------------------------------------------------- lists

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 import time
 from dataclasses import dataclass, field
@@ -62,6 +63,8 @@ class Result:
 
 def _plain(x):
     if isinstance(x, S.Row):
+        if x.__fields__ == ["rank", "num", "text", "kind"]:
+            return {"string": lambda: x.text, "int": lambda: int(x.num), "float": lambda: x.num, "bool": lambda: x.num == 1, "date": lambda: dt.date(1970, 1, 1) + dt.timedelta(int(x.num))}[x.kind]()
         return {k: _plain(v) for k, v in x.asDict().items()}
     if isinstance(x, list):
         return [_plain(v) for v in x]
