@@ -211,3 +211,19 @@ def test_older_lines_run(run):
 def test_large_range_streams(run):
     result = run.session.run("UNWIND range(1, 200000) AS n RETURN n")[0]
     assert sum(len(b) for b in result.batches(1024)) == 200000
+
+
+def test_timestamps_reach_the_scan(spark, tmp_path):
+    import datetime as dt
+
+    spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 12)), (2, dt.datetime(2024, 1, 2)), (3, None)], "id bigint, at timestamp").write.parquet(str(tmp_path / "n"))
+    session = Session(spark, Graph(spark).add_nodes(spark.read.parquet(str(tmp_path / "n")), ["N"]))
+    ids = lambda cond: [r[0] for r in rows(session, f"MATCH (n:N) WHERE {cond} RETURN id(n) AS i ORDER BY i")]
+    noon = 'datetime("2024-01-01T12:00:00")'
+    assert ids(f"n.at >= {noon}") == [1, 2] and ids(f"n.at > {noon}") == [2] and ids(f"n.at <= {noon}") == [1] and ids(f"n.at < {noon}") == [] and ids(f"{noon} = n.at") == [1] and ids(f"n.at <> {noon}") == [2]
+    zoned = 'datetime("2024-01-01T12:00:00Z")'
+    assert ids(f"n.at >= {zoned}") == [2] and ids(f"n.at < {zoned}") == [1] and ids(f"n.at = {zoned}") == [] and ids('n.at > datetime("2024-01-01T11:59:59.9999999")') == [1, 2]
+    df = session.query('MATCH (n:N) WHERE n.at >= datetime("2024-01-02T00:00:00") RETURN id(n) AS i')
+    assert "GreaterThanOrEqual(at" in df._jdf.queryExecution().executedPlan().toString()
+    session.run('MATCH (n:N) WHERE id(n) = 2 SET n.at = datetime("2030-01-01T00:00:00")')
+    assert ids('n.at > datetime("2025-01-01T00:00:00")') == [2]

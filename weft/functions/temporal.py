@@ -177,7 +177,8 @@ def to_datetime(v: Value) -> Value:
     if v.kind != "string":
         bad(f"datetime of a {v.kind}")
     if v.known:
-        return Value(datetime_lit(*parse_datetime(v.const)), DATETIME)
+        instant = parse_datetime(v.const)
+        return Value(datetime_lit(*instant), DATETIME, extra={"instant": instant})
     pattern = r"^(\d{4}-\d\d-\d\d)[Tt](\d\d:\d\d:\d\d)(?:\.(\d{1,9}))?([Zz]|[+-]\d\d:\d\d)?$"
     get = lambda i: F.regexp_extract(v.col, pattern, i)
     seconds = F.unix_seconds(F.concat(get(1), F.lit(" "), get(2), F.lit("+00:00")).cast("timestamp"))

@@ -26,7 +26,7 @@ def _updated(table, changes: DataFrame, replace: bool) -> DataFrame:
             cols.append(F.when(hit, as_type(Value(F.col(f"_c{list(new).index(k)}"), types[k]), t)).otherwise(old).alias(P + k))
         else:
             cols.append((F.when(~hit, old) if replace else old).alias(P + k))
-    return joined.select(*[c for c in table.df.columns if not c.startswith(P)], *cols)
+    return joined.select(*[c for c in table.df.columns if c in ("id", "src", "dst")], *cols)
 
 
 def update_nodes(graph: Graph, changes: DataFrame, replace: bool = False) -> Graph:

@@ -20,22 +20,28 @@ from weft.lang import ast as A
 from weft.operators import paths
 from weft.plans.expressions import Compiler, compare, conjuncts, free
 from weft.plans.rows import Rows, fresh
-from weft.sources.graph import P
+from weft.sources.graph import NATIVE, P
 
 
 def bind_node(rows: Rows, frame: DataFrame, types: dict) -> tuple[DataFrame, Value]:
     """Rename a node frame's columns to generated ones."""
     cid, labels = fresh("n"), fresh("labels")
     props = {k: (fresh("p"), t) for k, t in types.items()}
-    df = frame.select(F.col("id").alias(cid), F.col("labels").alias(labels), *[F.col(f"`{P}{k}`").alias(c) for k, (c, _) in props.items()])
-    return df, Value(F.col(cid), NODE, props, extra={"id": cid, "labels": labels, "whole": True})
+    native = _native(frame, types)
+    df = frame.select(F.col("id").alias(cid), F.col("labels").alias(labels), *[F.col(f"`{P}{k}`").alias(c) for k, (c, _) in props.items()], *[F.col(f"`{NATIVE}{k}`").alias(c) for k, c in native.items()])
+    return df, Value(F.col(cid), NODE, props, extra={"id": cid, "labels": labels, "whole": True, "native": native})
 
 
 def bind_edge(frame: DataFrame, types: dict) -> tuple[DataFrame, Value]:
     names = {k: fresh(k) for k in ("id", "src", "dst", "type")}
     props = {k: (fresh("p"), t) for k, t in types.items()}
-    df = frame.select(*[F.col(k).alias(c) for k, c in names.items()], *[F.col(f"`{P}{k}`").alias(c) for k, (c, _) in props.items()])
-    return df, Value(F.col(names["id"]), EDGE, props, extra={**names, "whole": True})
+    native = _native(frame, types)
+    df = frame.select(*[F.col(k).alias(c) for k, c in names.items()], *[F.col(f"`{P}{k}`").alias(c) for k, (c, _) in props.items()], *[F.col(f"`{NATIVE}{k}`").alias(c) for k, c in native.items()])
+    return df, Value(F.col(names["id"]), EDGE, props, extra={**names, "whole": True, "native": native})
+
+
+def _native(frame: DataFrame, types: dict) -> dict[str, str]:
+    return {k: fresh("t") for k in types if NATIVE + k in frame.columns}
 
 
 def _label_condition(labels: str, groups: list[list[str]]) -> Column | None:

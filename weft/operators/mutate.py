@@ -326,7 +326,7 @@ class Writer:
         hit = F.col("_p").isNotNull()
         joined = table.df.join(patches.select("id", F.col("w").alias("_p")), "id", "left")
         cols, changed = [], []
-        lead = [c for c in table.df.columns if not c.startswith(P)]
+        lead = [c for c in table.df.columns if c in ("id", "src", "dst")]
         for k in dict.fromkeys([*own, *writes]):
             if k in writes:
                 i, t = list(writes).index(k), writes[k].type

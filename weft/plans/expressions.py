@@ -87,6 +87,11 @@ def compare(op: str, a: Value, b: Value) -> Value:
         return null
     if a.kind == "bool" and op not in ("=", "<>"):
         return null
+    if a.kind == "datetime":
+        if isinstance(a.extra.get("native"), str) and "instant" in b.extra:
+            return _compare_native(op, a.extra["native"], *b.extra["instant"])
+        if isinstance(b.extra.get("native"), str) and "instant" in a.extra:
+            return _compare_native({"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op), b.extra["native"], *a.extra["instant"])
     x, y = a.col, b.col
     if a.kind != b.kind:
         small = lambda v: v.known and abs(v.const) < 1 << 53
@@ -105,6 +110,25 @@ def compare(op: str, a: Value, b: Value) -> Value:
     return Value(ops[op](), BOOL)
 
 
+def _compare_native(op: str, name: str, nanos: int, off: int | None) -> Value:
+    """A native timestamp, which has no offset, against a constant: a comparison that reaches the scan.
+
+    At the same instant, one without an offset comes before one with an offset.
+    """
+    col, below, exact = F.col(name), nanos // 1000, nanos % 1000 == 0
+    at = F.timestamp_micros(F.lit(below))
+    if op in ("=", "<>"):
+        if exact and off is None:
+            return Value(col == at if op == "=" else col != at, BOOL)
+        return Value(F.when(col.isNotNull(), op == "<>"), BOOL)
+    # whether the instant itself lies below the constant
+    tie_below = off is not None or not exact
+    less = op in ("<", "<=")
+    inclusive = (op == "<=" or tie_below) if less else (op == ">=" and not tie_below)
+    out = (col <= at if inclusive else col < at) if less else (col >= at if inclusive else col > at)
+    return Value(out, BOOL)
+
+
 def _compare_mixed(op: str, x: Column, y: Column) -> Value:
     """Values of the same kind compare as ever; of others, and bools by size, the comparison is null."""
     a, b = (F.struct(c["num"], c["text"]) for c in (x, y))
@@ -214,7 +238,8 @@ class Compiler:
     def property(self, base: Value, key: str) -> Value:
         if base.props is not None and key in base.props:
             name, t = base.props[key]
-            return Value(F.col(name), t)
+            native = base.extra.get("native", {}).get(key)
+            return Value(F.col(name), t, extra={"native": native} if native else {})
         if base.props is not None and base.extra.get("whole"):
             return Value(F.lit(None), NULL)
         lists = base.extra.get("lists")

@@ -10,10 +10,13 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from weft.functions.values import NULL, Type, Value, as_type, from_spark, loaded, null_of, unify
 
 P = "p_"
+#: A loaded timestamp also keeps its native column under this prefix, for filters that a scan can take.
+NATIVE = "t_"
 
 
 @dataclass(frozen=True)
@@ -101,11 +104,13 @@ class Graph:
         have = self.properties(tables)
         if keys is not None:
             have = {k: have[k] for k in keys if k in have}
+        # native columns go along where every table that has the property has one
+        native = [k for k, kind in have.items() if kind.kind == "datetime" and all(k not in t.props or NATIVE + k in t.df.columns for t in tables)]
         out = None
         for t in tables:
             own = t.props
             cols = [as_type(Value(F.col(f"`{P}{k}`"), own[k]), kind) if k in own else null_of(kind) for k, kind in have.items()]
-            part = t.df.select(*lead(t), *[c.alias(P + k) for c, k in zip(cols, have, strict=True)])
+            part = t.df.select(*lead(t), *[c.alias(P + k) for c, k in zip(cols, have, strict=True)], *[F.col(f"`{NATIVE}{k}`") if k in own else F.lit(None).cast("timestamp").alias(NATIVE + k) for k in native])
             out = part if out is None else out.unionByName(part)
         return (out if out is not None else self.spark.createDataFrame([], empty)), have
 
@@ -175,6 +180,8 @@ def _as_table(df: DataFrame, names: dict[str, str]) -> DataFrame:
             cols.append(c.cast("bigint").alias(names[f.name]))
         else:
             cols.append(loaded(c, f.dataType).alias(P + f.name))
+            if isinstance(f.dataType, TimestampType):
+                cols.append(c.alias(NATIVE + f.name))
     return df.select(*cols)
 
 
