@@ -227,3 +227,21 @@ def test_timestamps_reach_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(at" in df._jdf.queryExecution().executedPlan().toString()
     session.run('MATCH (n:N) WHERE id(n) = 2 SET n.at = datetime("2030-01-01T00:00:00")')
     assert ids('n.at > datetime("2025-01-01T00:00:00")') == [2]
+
+
+def test_a_lost_label_is_noticed(spark):
+    nodes, edges = spark.createDataFrame([(1,), (2,)], "id bigint"), spark.createDataFrame([(1, 1, 2)], "id bigint, src bigint, dst bigint")
+    session = Session(spark, Graph(spark).add_nodes(nodes, ["N"]).add_edges(edges, "E", src_labels=[["N"]], dst_labels=[["N"]]))
+    session.run("MATCH (n:N) WHERE id(n) = 2 REMOVE n:N")
+    assert rows(session, "MATCH (a:N)-[:E]->(b:N) RETURN count(b) AS n") == [(0,)]
+    assert rows(session, "MATCH (a:N)-[:E]->(b) RETURN count(b) AS n") == [(1,)]
+
+
+def test_writes_follow_row_order(spark):
+    session = Session(spark)
+    session.run("UNWIND range(0, 300) AS i CREATE (:S {i: i})")
+    session.run("CREATE (:K); MATCH (s:S), (k:K) WITH s, k ORDER BY s.i DESC SET k.last = s.i")
+    assert rows(session, "MATCH (k:K) RETURN k.last AS x") == [(0,)]
+    session.run("MATCH (s:S) WITH s ORDER BY s.i DESC CREATE (:C {i: s.i})")
+    assert rows(session, "MATCH (a:C), (b:C) WHERE a.i = b.i + 1 AND id(a) > id(b) RETURN count(*) AS n") == [(0,)]
+    assert rows(session, "MATCH (c:C) RETURN max(id(c)) - min(id(c)) AS n") == [(300,)]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weft.errors import GraphError
 from weft.functions.values import NULL, Value, as_type, loaded, null_of, unify
 from weft.operators import paths
+from weft.operators.mutate import unsure
 from weft.sources.graph import EdgeTable, Graph, NodeTable, P
 
 
@@ -56,7 +57,7 @@ def change_labels(graph: Graph, ids: DataFrame, add: list[str] = (), remove: lis
             out.append(t)
         else:
             out += [NodeTable(t.labels, t.df.join(keys, "id", "left_anti")), NodeTable(labels, t.df.join(keys, "id", "left_semi"))]
-    return graph.with_(nodes=tuple(out))
+    return unsure(graph.with_(nodes=tuple(out)), list(remove))
 
 
 def neighbors(graph: Graph, start: int, depth: int) -> DataFrame:

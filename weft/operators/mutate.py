@@ -35,25 +35,24 @@ class Summary:
 
 
 def _numbered(df: DataFrame, name: str) -> DataFrame:
-    """Gapless numbers from 0 in the rows' order, without gathering the rows: counts of partitions, then offsets.
+    """The rows written down, with gapless numbers from 0 in their order, without gathering them.
 
-    The input is a written table, so its partitions are the same each time.
+    What is written holds each row's partition and place in it; numbers are the counts of the partitions before, added
+    to the place. They come from data, so they are the same each time, however the files are read.
     """
-    part, at = fresh("part"), fresh("at")
-    with_part = df.withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()})
-    base = F.shiftleft(F.col(part).cast("bigint"), 33)
-    counts = with_part.groupBy(part).count()
-    offsets = counts.select(part, (F.sum("count").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("count")).alias("o"))
-    return with_part.join(F.broadcast(offsets), part).withColumn(name, F.col("o") + F.col(at) - base).drop(part, at, "o")  # a row for each partition
+    at = fresh("at")
+    written = cut(df.withColumn(at, F.monotonically_increasing_id()), "rows")
+    part = F.shiftright(F.col(at), 33)
+    counts = written.groupBy(part.alias("_part")).count()
+    offsets = counts.select("_part", (F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("count")).alias("_o"))
+    joined = written.join(F.broadcast(offsets), part == F.col("_part"))  # a row for each partition
+    return joined.withColumn(name, F.col("_o") + F.col(at) - F.shiftleft(part, 33)).drop(at, "_part", "_o")
 
 
 def fixed(rows: Rows) -> tuple[Rows, str]:
     """The rows written down, with a number for each in their order."""
     number = fresh("row")
-    df = rows.df
-    if rows.order:
-        df = df.orderBy(rows.order)
-    return rows.copy(cut(_numbered(cut(df, "rows"), number), "rows")), number
+    return rows.copy(_numbered(rows.df.orderBy(rows.order) if rows.order else rows.df, number)), number
 
 
 def _store_type(v: Value, key: str) -> None:
@@ -100,7 +99,7 @@ class Writer:
         if where is not None:
             total = rows.df.filter(where).count()
             seq = fresh("seq")
-            ranked = _numbered(cut(rows.df.filter(where), "chosen").orderBy(number), seq).select(F.col(number).alias("_n"), seq)
+            ranked = _numbered(rows.df.filter(where).select(F.col(number).alias("_n")).orderBy("_n"), seq)
             rows = rows.copy(rows.df.join(ranked, F.col(number) == F.col("_n"), "left").drop("_n"))
         else:
             seq = number
@@ -362,7 +361,8 @@ class Writer:
             self.summary.add("labels_added", count * len(set(add) - set(t.labels)))
             self.summary.add("labels_removed", count * len(set(drop) & set(t.labels)))
             out += [NodeTable(t.labels, df.join(patches.select("id"), "id", "left_anti")), NodeTable(labels, moved)]
-        return self.graph.with_(nodes=tuple(NodeTable(t.labels, cut(t.df, "nodes")) if t not in self.graph.nodes else t for t in out))
+        nodes = tuple(NodeTable(t.labels, cut(t.df, "nodes")) if t not in self.graph.nodes else t for t in out)
+        return unsure(self.graph.with_(nodes=nodes), drop)
 
     def _patch_edges(self, patches, writes, replace_all) -> Graph:
         out = []
@@ -438,6 +438,14 @@ def _merged(a: DataFrame, b: DataFrame, pa: dict[str, Type], pb: dict[str, Type]
     return side(a, pa).unionByName(side(b, pb))
 
 
+def unsure(graph: Graph, dropped: list[str]) -> Graph:
+    """Where nodes lose a label, edge tables can't vouch for it any more."""
+    lost = lambda sets: sets is not None and any(x in s for s in sets for x in dropped)
+    if not any(lost(t.src_labels) or lost(t.dst_labels) for t in graph.edges):
+        return graph
+    return graph.with_(edges=tuple(EdgeTable(t.type, t.df, None if lost(t.src_labels) else t.src_labels, None if lost(t.dst_labels) else t.dst_labels) for t in graph.edges))
+
+
 def _append_nodes(graph: Graph, labels: tuple[str, ...], df: DataFrame) -> Graph:
     new = NodeTable(labels, df)
     out = list(graph.nodes)
