@@ -1,7 +1,9 @@
-"""Graphs on storage: a folder of numbered versions, and a manifest that names the current one.
+"""Graphs on storage: a folder of tables, and a numbered manifest for each version that names its tables.
 
-A version is written whole before the manifest points to it, and the manifest is replaced by a rename, so a reader
-sees one version or the other. Tables that a version shares with an older one are not written again.
+A version's tables are written before its manifest, and a manifest's file is created under the condition that there is
+none of its number: of two commits from one version, the first wins and the other is a conflict. The current version
+is the highest whole manifest; one that a lost writer left incomplete is passed over. Tables that a version shares
+with an older one are not written again.
 """
 
 from __future__ import annotations
@@ -38,18 +40,19 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, name: str, text: str) -> None:
-        draft = f"{name}.{uuid.uuid4().hex}"
-        out = self.fs(name).create(self.path(draft), True)
+    def create(self, name: str, text: str) -> bool:
+        """Write a file that doesn't exist; False if it does."""
+        try:
+            out = self.fs(name).create(self.path(name), False)
+        except Exception as e:
+            if "AlreadyExists" in str(e) or "already exists" in str(e):
+                return False
+            raise
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        fs = self.fs(name)
-        if fs.exists(self.path(name)):
-            fs.delete(self.path(name), False)
-        if not fs.rename(self.path(draft), self.path(name)):
-            raise GraphError("Conflict", f"{name} could not be replaced")
+        return True
 
     def list(self, name: str = "") -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs(name).listStatus(self.path(name))) if self.exists(name) else []
@@ -64,15 +67,31 @@ class Files:
         self.fs(name).mkdirs(self.path(name))
 
 
-MANIFEST = "manifest.json"
+PREFIX = "manifest-"
+
+
+def _manifests(files: Files) -> list[str]:
+    return [x for x in files.list() if x.startswith(PREFIX) and x.endswith(".json")]
+
+
+def _current(files: Files) -> dict | None:
+    """The highest manifest that can be read whole."""
+    for name in reversed(_manifests(files)):
+        try:
+            return json.loads(files.read(name))
+        except ValueError:
+            continue
+    return None
 
 
 def save(graph: Graph, root: str, expected: int | None = None) -> Graph:
     """Write graph as the next version. If ``expected`` isn't the current version any more, that is a conflict."""
     files = Files(graph.spark, root)
-    current = json.loads(files.read(MANIFEST))["version"] if files.exists(MANIFEST) else 0
+    found = _current(files)
+    current = found["version"] if found else 0
     if expected is not None and expected != current:
         raise GraphError("Conflict", f"version {current} was committed meanwhile")
+    current = max([current, *(int(x[len(PREFIX) : -5]) for x in _manifests(files))])
     version = current + 1
     known = {id(t.df): t.df.__dict__.get("_weft_path") for t in (*graph.nodes, *graph.edges)}
     entries, nodes, edges = {"nodes": [], "edges": []}, [], []
@@ -89,7 +108,8 @@ def save(graph: Graph, root: str, expected: int | None = None) -> Graph:
             entries["edges"].append({"type": t.type, "src": t.src_labels, "dst": t.dst_labels, "path": path[len(files.root) + 1 :]})
             edges.append(EdgeTable(t.type, df, t.src_labels, t.dst_labels))
     body = {"version": version, "next_node": graph.next_node, "next_edge": graph.next_edge, **entries, "indexes": [vars(x) for x in graph.indexes], "constraints": [vars(x) for x in graph.constraints]}
-    files.write(MANIFEST, json.dumps(body))
+    if not files.create(f"{PREFIX}{version:010d}.json", json.dumps(body)):
+        raise GraphError("Conflict", f"version {version} was committed meanwhile")
     return graph.with_(nodes=tuple(nodes), edges=tuple(edges), version=version)
 
 
@@ -101,9 +121,9 @@ def _open(spark: SparkSession, path: str):
 
 def load(spark: SparkSession, root: str) -> Graph:
     files = Files(spark, root)
-    if not files.exists(MANIFEST):
+    m = _current(files)
+    if m is None:
         return Graph(spark)
-    m = json.loads(files.read(MANIFEST))
     sets = lambda x: tuple(map(tuple, x)) if x is not None else None
     return Graph(
         spark,
@@ -118,13 +138,16 @@ def load(spark: SparkSession, root: str) -> Graph:
 
 
 def vacuum(spark: SparkSession, root: str) -> int:
-    """Delete table folders that the current version doesn't name; how many there were."""
+    """Delete table folders that the current version doesn't name, and older manifests; how many folders there were."""
     files = Files(spark, root)
-    if not files.exists(MANIFEST):
+    m = _current(files)
+    if m is None:
         return 0
-    m = json.loads(files.read(MANIFEST))
     used = {t["path"].split("/")[0] for t in (*m["nodes"], *m["edges"])}
     old = [x for x in files.list() if x.startswith("v") and x not in used]
     for x in old:
         files.delete(x)
+    for x in _manifests(files):
+        if int(x[len(PREFIX) : -5]) < m["version"]:
+            files.delete(x)
     return len(old)
