@@ -82,9 +82,12 @@ def shortest(pairs: DataFrame, steps: DataFrame, every: bool, max_hops: int, lea
         reached = frontier.join(want, ["start", "node"])
         if level >= least:
             out = out.unionByName(reached.select(F.col("start").alias("a"), F.col("node").alias("b"), "nodes", "edges"))
-        seen = cut(seen.unionByName(frontier.select("start", "node").distinct()), "seen")
-        want = cut(want.join(seen, ["start", "node"], "left_anti"), "want")
-        frontier = frontier.join(want.select("start").distinct(), "start", "left_semi")  # starts with targets left
+        # levels are tables already: what was seen is their union, written anew now and then to keep the plan short
+        seen = seen.unionByName(frontier.select("start", "node").distinct() if every else frontier.select("start", "node"))
+        if level % 8 == 0:
+            seen = cut(seen, "seen")
+        want = cut(want.join(frontier.select("start", "node"), ["start", "node"], "left_anti"), "want")
         if want.isEmpty():
             break
+        frontier = frontier.join(want.select("start").distinct(), "start", "left_semi")  # starts with targets left
     return out

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.session import Session
+from weft.sources.graph import Graph
 from weft.sources.tables import tables_graph
 
 #: name -> (script, SQL); the last statement's rows are the result.
@@ -122,8 +123,19 @@ CATALOG: dict[str, tuple[str, str | None]] = {
 FLAGSHIP = "one_hop"
 
 
+_graphs: dict[tuple[str, str], Graph] = {}
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The tables' graph: plans only, kept so that file footers aren't read for each query."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _graphs:
+        _graphs[key] = tables_graph(spark, sf_dir)
+    return _graphs[key]
+
+
 def _query(script: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: Session(spark, tables_graph(spark, sf_dir)).query(script)
+    return lambda spark, sf_dir: Session(spark, _graph(spark, sf_dir)).query(script)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
