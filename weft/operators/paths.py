@@ -25,6 +25,8 @@ def walks(starts: DataFrame, steps: DataFrame, least: int, most: int | None, max
     last = max_hops if open_end else most
     none = F.array().cast("array<bigint>")
     frontier = starts.select("start", F.col("start").alias("node"), none.alias("edges"), none.alias("nodes"))
+    if last > UNROLLED:
+        steps = cut(steps.select("u", "v", "e"), "steps")
     out = None
     for level in range(1, last + 1):
         grown = frontier.join(steps, F.col("node") == F.col("u")).filter(~F.array_contains("edges", F.col("e")))
@@ -42,7 +44,7 @@ def walks(starts: DataFrame, steps: DataFrame, least: int, most: int | None, max
 
 def neighbors(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(start, node, depth) of what outgoing edges reach in at most so many steps, the start left out."""
-    steps = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct()
+    steps = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
     seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))
     frontier = seen
     for level in range(1, depth + 1):
@@ -64,6 +66,7 @@ def shortest(pairs: DataFrame, steps: DataFrame, every: bool, max_hops: int, lea
     start and node is kept; with ``every``, all edge sequences of a level are kept.
     """
     pairs = cut(pairs, "pairs")
+    steps = cut(steps.select("u", "v", "e"), "steps")  # read at each level: filters and unions are worked out once
     last = min(most or max_hops, max_hops)
     none = F.array().cast("array<bigint>")
     frontier = pairs.select(F.col("a").alias("start")).distinct().select("start", F.col("start").alias("node"), none.alias("edges"), F.array("start").alias("nodes"))

@@ -121,8 +121,9 @@ class Rows:
                 bad("the direction is out, in or both")
             ends = {"out": edges.select(F.col("src").alias("n")), "in": edges.select(F.col("dst").alias("n"))}
             ends["both"] = ends["out"].unionByName(edges.filter("src <> dst").select(F.col("dst").alias("n")))
-            out = fresh("d")
-            self._joined(args[0].col, ends[way].groupBy("n").agg(F.count(F.lit(1)).alias(out)), "n")
+            out, on = fresh("d"), self.named(args[0].col, "n")
+            asked = self.df.select(F.col(on).alias("n")).distinct()
+            self._joined(F.col(on), ends[way].join(asked, "n", "left_semi").groupBy("n").agg(F.count(F.lit(1)).alias(out)), "n")
             return Value(F.when(args[0].col.isNotNull(), F.coalesce(F.col(out), F.lit(0).cast("bigint"))), INT)
         if low == "neighbors":
             if not args[1].known or args[1].kind != "int" or args[1].const < 0:
