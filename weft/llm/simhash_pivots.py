@@ -31,6 +31,7 @@ from xxhash import xxh64_intdigest
 
 from weft.checkpointing import cut
 from weft.components import connected_components
+from weft.llm import shingle_sets
 from weft.llm._common import bound_batches, table, utf8
 
 BITS, SEED, SHINGLE = 64, 42, 3
@@ -143,19 +144,38 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bound_batches(df.sparkSession)
     rows = cut(df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), fingerprint_column(F.col(text_col)).alias("f")), "prints")
     prints = cut(rows.groupBy("f").agg(F.min("doc_id").alias("first")), "distinct")
-    found = connected_components(links(prints.select("f"), limit, group))
+    return _labelled(rows, prints, links(prints.select("f"), limit, group))
+
+
+def _labelled(rows: DataFrame, prints: DataFrame, edges: DataFrame) -> DataFrame:
+    found = connected_components(edges)
     known = prints.join(found.withColumnRenamed("node", "f"), "f", "left").select("f", "first", F.coalesce("component", "f").alias("component"))
     smallest = known.groupBy("component").agg(F.min("first").alias("component_id"))
     members = known.join(smallest, "component").select("f", "component_id")
     return rows.join(members, "f").select("doc_id", "text_hash", "f", "component_id")
 
 
+def _similar(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows as of near_duplicates, with components of five-word Jaccard similarity 0.8 or more; f stands for the words."""
+    bound_batches(df.sparkSession)
+    source = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = cut(source.select("doc_id", "text_hash", shingle_sets.sketch_column(F.col("text")).alias("s")).select("doc_id", "text_hash", "s.*"), "sketches")
+    place = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
+    prints = cut(rows.groupBy("f").agg(F.min("doc_id").alias("first"), F.min(place).alias("o"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
+    members = shingle_sets.grouped(prints)
+    wanted = prints.join(members.select("f").distinct(), "f").select("f", _key(F.col("o.i")).alias("i"), F.col("o.h").alias("text_hash"))
+    texts = source.withColumn("i", _key(F.col("doc_id"))).join(wanted, ["i", "text_hash"]).select("f", shingle_sets.set_column(F.col("text")).alias("shingles"))
+    sets = cut(texts.groupBy("f").agg(F.first("shingles").alias("shingles")), "sets")
+    return _labelled(rows, prints, shingle_sets.links(members, sets))
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df with one row of each near-duplicate component: the smallest (id, text hash), nulls last.
+    """The rows of df with one row of each component of texts whose five-word shingle sets have a Jaccard similarity of
+    0.8 or more: the smallest (id, text hash), nulls last. Wordless texts are one component.
 
     All columns pass through. Repeated rows with equal id and text are one row afterwards.
     """
-    labelled = near_duplicates(df, id_col, text_col)
+    labelled = _similar(df, id_col, text_col)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
     group = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("f")))
     chosen = labelled.groupBy(group.alias("g")).agg(F.min(order).alias("o")).select(_key(F.col("o.i")).alias("_weft_i"), F.col("o.h").alias("_weft_h"))
