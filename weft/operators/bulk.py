@@ -66,8 +66,11 @@ def neighbors(graph: Graph, start: int, depth: int) -> DataFrame:
     return paths.neighbors(starts, graph.edge_frame(keys=[])[0], depth).select("node", "depth")
 
 
-def shortest_path(graph: Graph, a: int, b: int, max_hops: int = 128) -> list[int] | None:
-    """Node ids of the shortest path, the one with the least edge ids; None if there is none."""
+def shortest_path(graph: Graph, a: int, b: int, max_hops: int | None = None) -> list[int] | None:
+    """Node ids of the shortest path, the one with the least edge ids; None if there is none.
+
+    A search that gets to ``max_hops``, if given, is an error.
+    """
     edges = graph.edge_frame(keys=[])[0].select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("id").alias("e"))
     row = paths.shortest(graph.spark.createDataFrame([(a, b)], "a bigint, b bigint"), edges, False, max_hops, zero=True).first()
     return list(row["nodes"]) if row else None

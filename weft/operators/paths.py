@@ -6,6 +6,8 @@ folder, so the plan stays small and a lost executor costs one level. Starts are
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,24 +60,28 @@ def neighbors(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return seen.filter("depth > 0")
 
 
-def shortest(pairs: DataFrame, steps: DataFrame, every: bool, max_hops: int, least: int = 1, most: int | None = None, zero: bool = False) -> DataFrame:
+def shortest(pairs: DataFrame, steps: DataFrame, every: bool, max_hops: int | None, least: int = 1, most: int | None = None, zero: bool = False) -> DataFrame:
     """pairs (a, b), steps (u, v, e) -> (a, b, nodes, edges): shortest paths, the least edge sequence or all of them.
 
     zero: a node is at distance 0 from itself; else a pair of one node has no path. A distance below ``least`` is no path.
     The least sequence to a node continues the least sequence to the node before it on its level, so one minimum for each
-    start and node is kept; with ``every``, all edge sequences of a level are kept.
+    start and node is kept; with ``every``, all edge sequences of a level are kept. Without ``max_hops`` the search ends
+    when nothing new is reached; an open or overlong upper bound ends at max_hops, and a search that gets there is an error.
     """
     pairs = cut(pairs, "pairs")
     steps = cut(steps.select("u", "v", "e"), "steps")  # read at each level: filters and unions are worked out once
-    last = min(most or max_hops, max_hops)
+    open_end = max_hops is not None and (most is None or most > max_hops)
+    last = max_hops if open_end else most
     none = F.array().cast("array<bigint>")
     frontier = pairs.select(F.col("a").alias("start")).distinct().select("start", F.col("start").alias("node"), none.alias("edges"), F.array("start").alias("nodes"))
     seen = frontier.select("start", "node")
     same = pairs.filter("a = b").select("a", "b", F.array("a").alias("nodes"), none.alias("edges"))
     out = same if zero else same.limit(0)
     want = pairs.filter("a <> b").withColumnsRenamed({"a": "start", "b": "node"})
-    for level in range(1, last + 1):
+    for level in count(1) if last is None else range(1, last + 1):
         grown = frontier.join(steps, F.col("node") == F.col("u")).select("start", F.col("v").alias("node"), F.array_append("edges", F.col("e")).alias("edges"), F.array_append("nodes", F.col("v")).alias("nodes"))
+        if open_end and level == last and not grown.join(want.select("start").distinct(), "start", "left_semi").isEmpty():
+            raise GraphError("ResourceExhausted", f"a path reached the limit of {max_hops} hops")
         grown = grown.join(seen, ["start", "node"], "left_anti")
         if not every:
             grown = grown.groupBy("start", "node").agg(F.min(F.struct("edges", "nodes")).alias("m")).select("start", "node", "m.edges", "m.nodes")

@@ -138,7 +138,7 @@ class Rows:
         pairs = self.df.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null").distinct()
         every = low == "allshortestpaths"
         steps = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("id").alias("e"))
-        found = paths.shortest(pairs, steps, every, self.context.max_hops, zero=True)
+        found = paths.shortest(pairs, steps, every, None, zero=True)
         out = fresh("sp")
         path = F.struct("nodes", "edges")
         if every:
