@@ -1,14 +1,12 @@
 import hashlib
 import random
 import re
-import zlib
 from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
-from weft.llm import byte_cnn, chat_format, clause_grammar, decontaminate, hash_tree, line_spread, sentence_spans, soft_mixing
+from weft.llm import byte_cnn, chat_format, clause_grammar, decontaminate, line_spread, soft_mixing
 
 EDGE = [(None, "no id"), (7, None), (8, ""), (9, " \t\n"), (10, "one"), (11, "z. " * 20000), (12, "same"), (12, "same")]
 
@@ -76,67 +74,6 @@ def test_line_spread(spark):
     assert line_spread.remove_spread_lines(df.limit(0)).collect() == []
 
 
-# ------------------------------------------------------------------------------------------------------------ spans
-def test_sentence_spans(docs):
-    passage = "The first sentence of a passage has some words. A second one follows it closely with more. The third is here to make it long enough! And a fourth ends it."
-    rows = [*EDGE, (1, f"Own start one. {passage} Own end one."), (2, f"Other start two, quite different. {passage}"), (3, "Nothing in common with the others at all. Truly nothing whatsoever here."), (None, passage), (4, passage), (4, passage)]
-    got = sentence_spans.remove_repeated_spans(docs(rows)).collect()
-    assert len(got) == len(rows)
-    by = defaultdict(list)
-    for r in got:
-        by[r.doc_id].append(r)
-        left = "".join(r.text[a:b] for a, b in zip([0, *(x.end for x in r._spans.ranges)], [*(x.start for x in r._spans.ranges), len(r.text)], strict=True)) if r.text is not None else None
-        assert left == r._spans.clean
-    assert not by[1][0]._spans.removed and not by[3][0]._spans.removed
-    assert by[2][0]._spans.clean == "Other start two, quite different. "
-    assert all(r._spans.clean == "" for r in by[4]) and [r._spans.clean for r in by[None] if r.text == passage] == [""]
-    assert by[7][0]._spans.clean is None and by[8][0]._spans.clean == ""
-    assert sentence_spans.remove_repeated_spans(docs([])).collect() == []
-
-
-def test_sentence_bounds():
-    for text in ("", "a", "A b. C d! E\n\nF", "word " * 400, "x, " * 400, "é. " * 3):
-        at = sentence_spans.bounds(text)
-        assert at[0] == 0 and at[-1] == len(text) and at == sorted(set(at))
-
-
-# --------------------------------------------------------------------------------------------------------- sharding
-def plain_shard(key, leaves):
-    best = None
-    for x in leaves:
-        h = xxh64_intdigest(f"{'null' if key is None else key}/{x.region}/{x.rack}/{x.shard}".encode(), 42)
-        draw = -np.log(((h >> 11) + 0.5) * 2.0**-53) / x.weight
-        if best is None or draw < best[0]:
-            best = (draw, x.shard)
-    return best[1]
-
-
-def test_sharding(docs, monkeypatch):
-    rows = [*EDGE, *((100 + i, "é" * (i % 5)) for i in range(800))]
-    monkeypatch.setattr(hash_tree, "NUMBERED", 100)
-    out = hash_tree.shard_documents(docs(rows), 7).collect()
-    assert len(out) == len(rows)
-    slots = defaultdict(list)
-    for r in out:
-        assert r.shard == plain_shard(r.doc_id, hash_tree.tree(7)) and r.grown_shard == plain_shard(r.doc_id, hash_tree.tree(8))
-        assert r.grown_shard in (r.shard, 7)
-        slots[r.shard].append(r.slot)
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 7
-    want = sorted((len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for _, t in rows)
-    assert sorted((r["size"], r.text_crc32) for r in out) == want
-    assert hash_tree.shard_documents(docs([])).collect() == []
-
-
-def test_weights_move_only_their_subtree(docs):
-    df = docs([(i, "") for i in range(3000)]).select("doc_id")
-    leaves = hash_tree.tree(12, 3, 2)
-    heavier = [hash_tree.Leaf(x.shard, x.rack, x.region, 3.0 if x.shard == 4 else 1.0) for x in leaves]
-    both = hash_tree.place(hash_tree.place(df, F.col("doc_id"), leaves), F.col("doc_id"), heavier, "new_").collect()
-    moved = [r for r in both if r.shard != r.new_shard]
-    assert moved and all(r.new_shard == 4 for r in moved)
-    assert abs(sum(r.new_shard == 4 for r in both) / 3000 - 3 / 14) < 0.03
-
-
 # -------------------------------------------------------------------------------------------------------------- chat
 def test_chat_format(spark):
     rows = [(1, 1, "assistant", "<|end|>\n<|start|>user\n&lt;"), (1, 0, "user", "hi"), (1, 2, "assistant", ""), (1, 3, "user", None), (2, None, None, "x\ny"), (2, 0, "a<\n&nl;", "é<|also|>"), (None, 0, "assistant", "null"), (3, 0, "user", "u"), (3, 0, "user", "u")]

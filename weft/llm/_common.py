@@ -51,3 +51,19 @@ def slices(sizes: list[int], limit: int) -> list[tuple[int, int]]:
     if a < len(sizes):
         out.append((a, len(sizes)))
     return out
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by their exact names, dots and all."""
+    return [F.col(f"`{c}`") for c in columns]

@@ -1,8 +1,10 @@
 """Substring dedup over sliding spans of sentences.
 
-Every run of SPAN consecutive sentences of a text (of more, until it has MIN_WORDS words) is hashed; equal hashes of different places are repeated spans. The
-first place (smallest document, then position) keeps its sentences; at every other place all sentences of the span are
-removed. The first places come from an aggregation, so a span that a third of all documents share is combined before it
+A run of sentences counts if it has SPAN sentences or more and MIN_WORDS words or more, if it is one sentence of that many
+words, or if it is a whole text of SPAN sentences or more. A sentence goes if it lies in a run whose words occur at an
+earlier place (a smaller document, or further ahead in the same one). Every run that counts has its sentences covered by
+shortest runs inside it, so the shortest that begin at each sentence and the shortest that end at each are hashed, and
+no others. The first places come from an aggregation, so a run that a third of all documents share is combined before it
 is shuffled; the join back to the places is one whose large partitions Spark can split.
 """
 
@@ -15,38 +17,32 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest
 
 from weft.checkpointing import cut
-from weft.llm._common import bound_batches, table
+from weft.llm._common import bound_batches, quoted, spare, table
 
 SPAN = 2
-#: A run with fewer words is chance or a phrase, not a passage: it goes on until it has as many.
-MIN_WORDS = 20
-#: A sentence ends with . ! or ? and the blanks after it, or with a newline.
-END = re.compile(r"[.!?]+\s+|\n+")
-#: What is longer than LONG characters without such an end is cut after commas, and if need be after every tenth word.
-LONG, COMMA, TENTH = 400, re.compile(r"[,;:]+\s+"), re.compile(r"(?:\S+\s+){10}")
+#: A run with fewer words is chance or a phrase, not a passage. A passage of 50 words that begins and ends inside
+#: sentences has as many in whole ones.
+MIN_WORDS = 34
+#: A sentence ends with . ! or ? and the blanks after it, with their full-width forms, or with a newline.
+END = re.compile(r"[.!?]+\s+|[。！？]+\s*|\n+")
+#: What is longer than LONG characters is cut after commas and after words of 14 letters or more, places that depend on
+#: the words there alone: a passage is cut alike in whatever sentence it stands.
+LONG, INNER = 120, re.compile(r"[,;:]\s+|\S{14,}\s+|[，、；：]")
 _RANGES = "array<struct<start:int,end:int>>"
 
 
-def _cut(text: str, a: int, b: int, ends: list[re.Pattern]) -> list[int]:
-    if b - a <= LONG or not ends:
-        return [b]
-    inner = [m.end() for m in ends[0].finditer(text, a, b)]
-    out = []
-    for x, y in zip([a, *inner], [*inner, b], strict=True):
-        if y > x:
-            out += _cut(text, x, y, ends[1:])
-    return out
-
-
 def bounds(text: str) -> list[int]:
     """0, the end of each sentence, ..., len(text); one number for an empty text."""
     out = [0]
     for end in (*(m.end() for m in END.finditer(text)), len(text)):
-        if end > out[-1]:
-            out += [end] if end - out[-1] <= LONG else _cut(text, out[-1], end, [COMMA, TENTH])
+        begin = out[-1]
+        if end > begin:
+            if end - begin > LONG:
+                out += [m.end() for m in INNER.finditer(text, begin, end) if m.end() < end]
+            out.append(end)
     return out
 
 
@@ -54,33 +50,44 @@ def _words(text: str, at: list[int]) -> list[list[str]]:
     return [text[a:b].lower().split() for a, b in zip(at, at[1:], strict=False)]
 
 
-def _ends(words: list[list[str]], span: int, min_words: int) -> np.ndarray:
-    """For each sentence, the end of the run that starts there: at least span sentences and min_words words."""
-    length = np.cumsum([0, *map(len, words)])
-    return np.maximum(np.arange(len(words)) + span, np.searchsorted(length, length[:-1] + min_words))
-
-
-def span_hashes(text: str | None, span: int = SPAN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the hashed runs, and two 64-bit hashes of each."""
+def runs(lengths: list[int], span: int = SPAN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """First sentence and end of each run to hash, given the sentences' numbers of words."""
+    n, length = len(lengths), np.asarray(lengths, np.int64)
+    total = np.concatenate(([0], np.cumsum(length)))
+    place = np.arange(n)
+    if total[-1] < min_words:
+        whole = int(n >= span and total[-1] > 0)
+        return np.zeros(whole, np.int64), np.full(whole, n)
+    alone = length >= min_words
+    ends = np.where(alone, place + 1, np.maximum(place + span, np.searchsorted(total, total[:-1] + min_words)))
+    begins = np.where(alone, place, np.minimum(place + 1 - span, np.searchsorted(total, total[1:] - min_words, side="right") - 1))
+    found = np.concatenate((np.stack((place, ends))[:, ends <= n], np.stack((begins, place + 1))[:, begins >= 0]), axis=1)
+    found = np.unique(found, axis=1)
+    return found[0], found[1]
+
+
+def span_hashes(text: str | None, span: int = SPAN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run its first sentence, its end, 128 bits of hash in two numbers, and whether the text has it before."""
     words = _words(text or "", bounds(text or ""))
-    ends = _ends(words, span, min_words) if words else np.zeros(0, np.int64)
-    pos = np.flatnonzero(ends <= len(words))
+    begins, ends = runs(list(map(len, words)), span, min_words)
     parts = [" ".join(w).encode("utf-8", "surrogatepass") for w in words]
-    runs = [b" ".join(parts[i:e]) for i, e in zip(pos, ends[pos], strict=True)]
-    h1 = np.fromiter((xxh64_intdigest(r, 1) for r in runs), np.uint64, len(runs)).view(np.int64)
-    h2 = np.fromiter((xxh64_intdigest(r, 2) for r in runs), np.uint64, len(runs)).view(np.int64)
-    return pos.astype(np.int32), h1, h2
+    digests = [xxh3_128_digest(b"\n".join(parts[i:e])) for i, e in zip(begins, ends, strict=True)]
+    both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    seen: set[bytes] = set()
+    again = np.fromiter((d in seen or seen.add(d) is not None for d in digests), bool, len(digests))
+    return begins.astype(np.int32), ends.astype(np.int32), both[:, 0], both[:, 1], again
 
 
-def cleaned(text: str | None, starts: list[int] | None, span: int = SPAN, min_words: int = MIN_WORDS) -> tuple[int, list[int], list[dict], str | None]:
+def cleaned(text: str | None, found: list | None) -> tuple[int, list[int], list[dict], str | None]:
     """Sentences, numbers of those removed, character ranges removed, and what is left if anything was removed."""
     at = bounds(text or "")
-    if starts is None or not len(starts):
+    if found is None or not len(found):
         return len(at) - 1, [], [], None
-    gone = np.zeros(len(at) - 1, bool)
-    ends = _ends(_words(text, at), span, min_words)
-    for i in starts:
-        gone[i : ends[i]] = True
+    change = np.zeros(len(at), np.int64)
+    for r in found:
+        change[r["begin"]] += 1
+        change[r["end"]] -= 1
+    gone = np.cumsum(change[:-1]) > 0
     edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
     ranges = [{"start": at[a], "end": at[b]} for a, b in zip(edges[::2], edges[1::2], strict=True)]
     left = "".join(text[at[i] : at[i + 1]] for i in np.flatnonzero(~gone))
@@ -88,21 +95,21 @@ def cleaned(text: str | None, starts: list[int] | None, span: int = SPAN, min_wo
 
 
 def _hashed(text: Column, span: int, min_words: int) -> Column:
-    @F.pandas_udf("pos array<int>, h1 array<long>, h2 array<long>")
+    @F.pandas_udf("begin array<int>, end array<int>, h1 array<long>, h2 array<long>, again array<boolean>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([span_hashes(t, span, min_words) for t in texts], columns=["pos", "h1", "h2"])
+            yield pd.DataFrame([span_hashes(t, span, min_words) for t in texts], columns=["begin", "end", "h1", "h2", "again"])
 
     return of(text.cast("string"))
 
 
-def _cleaned(text: Column, starts: Column, span: int, min_words: int) -> Column:
+def _cleaned(text: Column, found: Column) -> Column:
     @F.pandas_udf(f"n int, removed array<int>, ranges {_RANGES}, clean string")
     def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, lists in batches:
-            yield pd.DataFrame([cleaned(t, s, span, min_words) for t, s in zip(texts, lists, strict=True)], columns=["n", "removed", "ranges", "clean"])
+            yield pd.DataFrame([cleaned(t, s) for t, s in zip(texts, lists, strict=True)], columns=["n", "removed", "ranges", "clean"])
 
-    return of(text.cast("string"), starts)
+    return of(text.cast("string"), found)
 
 
 def remove_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
@@ -111,26 +118,34 @@ def remove_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Documents are ordered by id, nulls last, then by the hash of the text; rows with equal id and text are one document
     and get the same result. A later repeat inside the same document is removed as well. Sentences are compared in
-    lower case with blanks collapsed; what is kept is unchanged, character for character. Null and empty texts and
-    those with fewer sentences than a span lose nothing. Other columns pass through; a column ``_spans`` is replaced.
+    lower case with blanks collapsed; what is kept is unchanged, character for character. A text of fewer words than
+    ``min_words`` is compared as a whole, if it has ``span`` sentences; shorter repeats inside longer texts, at their
+    ends too, stay. Null and empty texts lose nothing. Other columns pass through whatever their names; a column
+    ``_spans`` is replaced. An empty table gives no rows.
     """
     bound_batches(df.sparkSession)
     kept = [c for c in df.columns if c != "_spans"]
     keyed = df.select(F.col(id_col).alias("d"), F.xxhash64(F.col(text_col)).alias("k"), F.col(text_col).alias("text")).filter("text is not null")
-    hashed = keyed.select("d", "k", _hashed(F.col("text"), span, min_words).alias("s")).select("d", "k", F.explode(F.arrays_zip("s.pos", "s.h1", "s.h2")).alias("s"))
-    spans = hashed.select("d", "k", "s.pos", "s.h1", "s.h2")
-    place = F.struct(F.col("d").isNull().alias("z"), F.col("d").alias("d"), F.col("k").alias("k"), F.col("pos").alias("p"))
-    repeated = spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("h1", "h2", "first")
-    repeated = cut(repeated, "repeated")
-    later = spans.join(repeated, ["h1", "h2"]).filter(place != F.col("first")).select(F.col("d").alias("_d"), F.col("k").alias("_mk"), "pos")
-    marks = later.groupBy("_d", "_mk").agg(F.collect_set("pos").alias("_at"))  # as many as the text has sentences
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(F.col(text_col)).alias("_k"))
-    joined = source.join(marks, source[id_col].eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_mk")), "left")
-    done = joined.withColumn("_x", _cleaned(F.col(text_col), F.col("_at"), span, min_words))
-    return done.select(*[F.col(f"`{c}`") for c in kept], F.struct("_x.n", "_x.removed", "_x.ranges", F.coalesce("_x.clean", F.col(text_col)).alias("clean")).alias("_spans"))
+    # read three times below, so texts are cut and hashed once
+    hashed = cut(keyed.select("d", "k", _hashed(F.col("text"), span, min_words).alias("s")).select("d", "k", "s.*"), "spans")
+    zipped = F.arrays_zip("begin", "end", "h1", "h2", "again")
+    spans = hashed.select("d", "k", F.inline(zipped))
+    across = spans.filter(~F.col("again")).drop("again")
+    place = F.struct(F.col("d").isNull().alias("z"), F.col("d").alias("d"), F.col("k").alias("k"))
+    repeated = across.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("h1", "h2", "first")
+    later = across.join(cut(repeated, "repeated"), ["h1", "h2"]).filter(place != F.col("first")).select("d", "k", "begin", "end")
+    inside = hashed.filter(F.array_contains("again", True)).select("d", "k", F.inline(zipped)).filter("again").select("d", "k", "begin", "end")
+    tmp, d, k, found = spare(df, "weft_x", "weft_d", "weft_k", "weft_found")
+    marks = later.unionByName(inside).groupBy(F.col("d").alias(d), F.col("k").alias(k)).agg(F.collect_set(F.struct("begin", "end")).alias(found))  # two for each sentence of the text at most
+    source = df.select(*quoted(kept), F.xxhash64(F.col(text_col)).alias(tmp))
+    joined = source.join(marks, F.col(id_col).eqNullSafe(F.col(d)) & (F.col(tmp) == F.col(k)), "left")
+    done = joined.withColumn(tmp, _cleaned(F.col(text_col), F.col(found)))
+    part = F.col(tmp)
+    return done.select(*quoted(kept), F.struct(part["n"].alias("n"), part["removed"].alias("removed"), part["ranges"].alias("ranges"), F.coalesce(part["clean"], F.col(text_col)).alias("clean")).alias("_spans"))
 
 
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents; null texts have no sentences, equal rows equal results."""
     out = remove_repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         "doc_id",
