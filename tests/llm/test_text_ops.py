@@ -1,31 +1,18 @@
 import hashlib
 import random
-import re
 from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from tests_plain import plain_hits
+from weft.llm._common import text_key
 from weft.llm import byte_cnn, chat_format, clause_grammar, decontaminate, line_spread, soft_mixing
 
 EDGE = [(None, "no id"), (7, None), (8, ""), (9, " \t\n"), (10, "one"), (11, "z. " * 20000), (12, "same"), (12, "same")]
 
 
 # --------------------------------------------------------------------------------------------------- decontamination
-def plain_hits(text, items):
-    words = [w for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
-    hit, found = set(), set()
-    for i, t in items:
-        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        n = min(10, len(own))
-        windows = {tuple(own[k : k + n]) for k in range(len(own) - n + 1)} if own else set()
-        for k in range(len(words) - n + 1 if n else 0):
-            if tuple(words[k : k + n]) in windows:
-                hit |= set(range(k, k + n))
-                found.add(str(i))
-    return len(words), len(hit), sorted(found)
-
-
 def test_decontamination(spark, docs):
     rng = random.Random(1)
     vocab = ["Alpha", "beta", "gámma", "d4", "É", "x"]
@@ -33,7 +20,7 @@ def test_decontamination(spark, docs):
     rows = [*EDGE, *((100 + i, ", ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 300)))) for i in range(25)), *((200 + n, f"start! {t} end") for n, (_, t) in enumerate(items) if t)]
     frame = spark.createDataFrame(items, "item_id bigint, text string")
     known = [(i, t) for i, t in items if i is not None]
-    for limit in (decontaminate.AUTOMATON_BYTES, 200):  # one automaton, and one after the other
+    for limit in (decontaminate.AUTOMATON_WORDS, 60):  # one automaton, and one after the other
         out = decontaminate.decontaminate(docs(rows), frame, limit=limit).collect()
         assert len(out) == len(rows)
         for r in out:
@@ -60,7 +47,7 @@ def test_line_spread(spark):
     for lg_k, sigmas in ((12, 8), (4, 50)):  # decided by sketches, and by exact counts
         out = line_spread.remove_spread_lines(df, sites=3) if lg_k == 12 else None
         lines = df.filter("text is not null").select(F.explode(F.split("text", "\n")).alias("l"), F.col("source").alias("site")).select(F.trim("l").alias("l"), "site").filter("l <> ''")
-        h1, h2 = line_spread.text_key(F.col("l"))
+        h1, h2 = text_key(F.col("l"))
         spread = line_spread.spread_lines(lines.select(h1.alias("h1"), h2.alias("h2"), "site"), 3, lg_k, sigmas).count()
         assert spread == sum(len(s) >= 3 for s in sites.values())
         if out is None:

@@ -1,34 +1,14 @@
 import zlib
 from collections import defaultdict
 
-import numpy as np
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from tests_plain import plain_place
 
 from weft.llm import hash_tree as T
 
 EDGE = [(None, "no id"), (7, None), (8, ""), (9, " \t\n"), (10, "one"), (11, "z. " * 20000), (12, "same"), (12, "same")]
 
 
-def plain_place(key, leaves):
-    """Descent in plain Python: among regions, then among the racks of the region, then among the shards of the rack."""
-    text, at = "null" if key is None else str(key), ()
-    for depth in (1, 2, 3):
-        weights = defaultdict(float)
-        for x in leaves:
-            path = (x.region, x.rack, x.shard)
-            if x.weight > 0 and path[: depth - 1] == at:
-                weights[path[:depth]] += x.weight
-        # xxhash64 of two columns: the first one's hash is the second one's seed
-        seed = xxh64_intdigest(text.encode(), 42)
-        draws = []
-        for path, w in weights.items():
-            h = xxh64_intdigest("/".join(map(str, path)).encode(), seed)
-            draws.append((-np.log(((h >> 11) + 0.5) * 2.0**-53) / w, path))
-        at = min(draws)[1]
-    return at
-
-
 def test_sharding(docs, monkeypatch):
     rows = [*EDGE, *((100 + i, "é" * (i % 5)) for i in range(800)), *[(99, "again")] * 70]
     monkeypatch.setattr(T, "NUMBERED", 100)

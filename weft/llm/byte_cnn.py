@@ -10,6 +10,7 @@ table with 65,536 rows, so a filter of width four is two look-ups and one additi
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm._common import bound_batches, slices, table, utf8
+from weft.llm._common import bound_batches, quoted, slices, table, utf8
 
 WINDOW, EMBEDDING, FILTERS, WIDTHS = 192, 8, 16, (2, 3, 4)
 #: Training windows: at most about this many for each language, one to four from a document, at places that follow from a hash.
@@ -170,13 +171,20 @@ def training_windows(df: DataFrame, id_col: str, text_col: str, label_col: str,
     return data, np.array([labels.index(r["y"]) for r in rows], np.int64), labels
 
 
+#: In a worker: the tables that its tasks predict with, built once and not for each task.
+_built: dict[str, Predictor] = {}
+
+
 def predict(text: Column, model: Model, spark: SparkSession) -> Column:
     """struct lang_pred, score. ``und`` with score 0 if the text is null or has no letter, or if nothing was learned."""
-    shared = spark.sparkContext.broadcast(model)
+    shared, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.pandas_udf("lang_pred string, score double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        predictor = Predictor(shared.value)
+        if name not in _built:
+            _built.clear()
+            _built[name] = Predictor(shared.value)
+        predictor = _built[name]
         for texts in batches:
             p = predictor.texts([t or b"" for t in texts])
             best = p.argmax(axis=1)
@@ -206,10 +214,12 @@ def identify(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_co
     through whatever their names, but a column named like ``out`` is replaced.
     """
     bound_batches(df.sparkSession)
-    return df.withColumn(out, predict(F.col(text_col), fit(labelled, id_col, text_col, label_col), df.sparkSession))
+    found = predict(F.col(text_col), fit(labelled, id_col, text_col, label_col), df.sparkSession)
+    return df.select(*quoted([c for c in df.columns if c != out]), found.alias(out))
 
 
 def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents; texts that are null or have no letter are ``und``, null ids held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
     found = identify(docs.select("doc_id", "text", "held_out"), docs.filter(~F.col("held_out")))
     return found.select("doc_id", "held_out", "_lang.lang_pred", "_lang.score")

@@ -19,6 +19,8 @@ from weft.llm._common import table
 
 START, ALSO, END = "<|start|>", "<|also|>", "<|end|>\n"
 LEARNED = "assistant"
+#: Runs of a mask that are summed up in one piece.
+BLOCK = 256
 
 
 def escape(text: Column) -> Column:
@@ -71,18 +73,30 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def under_mask(formatted: Column, mask: Column) -> Column:
-    """The text under the mask, run by run, unescaped. Bytes are addressed, so a run costs what it takes, wherever it is."""
+    """The text under the mask, run by run, unescaped. Bytes are addressed, so a run costs what it takes, wherever it is.
+
+    Places are sums of the runs before, taken within blocks of BLOCK runs and then over blocks, as a list that grows by
+    one is copied each time: a conversation of a million turns stays cheap.
+    """
     place = lambda at, n: F.struct(at.cast("int").alias("at"), n.cast("int").alias("n"))
     none = F.array().cast("array<struct<at:int,n:int>>")
-    places = F.aggregate(
-        mask,
-        F.struct(F.lit(1).alias("at"), none.alias("runs")),
-        lambda acc, r: F.struct((acc["at"] + r["skip"] + r["take"]).cast("int").alias("at"), F.when(r["take"] > 0, F.array_append(acc["runs"], place(acc["at"] + r["skip"], r["take"]))).otherwise(acc["runs"]).alias("runs")),
-    )["runs"]
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(mask) - 1) / BLOCK).cast("int")), lambda b: F.slice(mask, b * BLOCK + 1, F.lit(BLOCK)))
+    length = lambda b: F.aggregate(b, F.lit(0), lambda acc, r: (acc + r["skip"] + r["take"]).cast("int"))
+
+    def spread(items: Column, start: Column, size, entry) -> Column:
+        """entry(place, item) for each item, places being sums of sizes."""
+        zero = F.struct(start.cast("int").alias("at"), none.alias("runs"))
+        grown = lambda acc, x: F.struct((acc["at"] + size(x)).cast("int").alias("at"), entry(acc, x).alias("runs"))
+        return F.aggregate(items, zero, grown)["runs"]
+
+    starts = spread(blocks, F.lit(1), length, lambda acc, b: F.array_append(acc["runs"], place(acc["at"], F.lit(0))))
+    taken = lambda acc, r: F.when(r["take"] > 0, F.array_append(acc["runs"], place(acc["at"] + r["skip"], r["take"]))).otherwise(acc["runs"])
+    places = F.flatten(F.zip_with(blocks, starts, lambda b, s: spread(b, s["at"], lambda r: r["skip"] + r["take"], taken)))
     return F.array_join(F.transform(places, lambda r: unescape(F.substring(formatted.cast("binary"), r["at"], r["n"]).cast("string"))), "")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each conversation and one for -1; null roles and texts are empty, null ids one conversation."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"SELECT CAST(-1 AS BIGINT) AS conv_id, * FROM VALUES (CAST(0 AS BIGINT), 'user', '{control}'), (CAST(1 AS BIGINT), 'assistant', '{control}') AS t(turn, role, text)")

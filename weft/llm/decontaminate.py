@@ -1,17 +1,19 @@
 """Benchmark decontamination with an Aho-Corasick automaton.
 
-Item texts are normalised to words; every run of ``window`` words (a shorter item is one window) becomes a pattern,
-words joined and bounded by single spaces. One automaton holds all patterns and each document's normalised text is
-scanned once. The position of a match in the normalised text is mapped to word numbers and from these to character
-offsets of the original text.
+Item texts are normalised to words; every run of ``window`` words (a shorter item is one window) becomes a pattern, a
+sequence of word numbers. One automaton holds all patterns; a document's words, as numbers, are scanned once, and the
+place of a match is that of its words, which maps to character offsets of the original text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -19,12 +21,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm._common import LOWER, UPPER, bound_batches, table
+from weft.llm._common import LOWER, UPPER, bound_batches, quoted, spare, table
 
 WINDOW = 10
-#: Bytes of patterns that one automaton may hold, and with it the size of what is broadcast. A benchmark with more is
-#: cut into parts by item; the documents then pass one automaton after the other, and the results are merged.
-AUTOMATON_BYTES = 24 << 20
+#: Words of patterns that one automaton may hold: a word is a state of about 100 bytes at most, so 200 MB in a worker, and
+#: its items, a tenth of that, are what is broadcast. A benchmark with more is cut into parts by item; the documents then
+#: pass one automaton after the other, and the results are merged.
+AUTOMATON_WORDS = 2_000_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans(UPPER, LOWER)
 _SPANS = "array<struct<start:int,end:int,first_word:int,last_word:int>>"
@@ -35,101 +38,130 @@ def normalised(text: str | None) -> list[str]:
     return WORD.findall((text or "").translate(_LOWER))
 
 
-def patterns(items: list[tuple[str, str | None]], window: int = WINDOW) -> list[tuple[str, int, tuple[str, ...]]]:
-    """(pattern, number of words, ids of the items that have it)."""
+def patterns(items: list[tuple[str, str | None]], window: int = WINDOW) -> dict[tuple[str, ...], tuple[str, ...]]:
+    """Window -> ids of the items that have it."""
     owners: dict[tuple[str, ...], set[str]] = defaultdict(set)
     for item, text in items:
         words = normalised(text)
         for i in range(max(1, len(words) - window + 1) if words else 0):
             owners[tuple(words[i : i + window])].add(item)
-    return [(f" {' '.join(w)} ", len(w), tuple(sorted(ids))) for w, ids in sorted(owners.items())]
-
-
-def build(found: list[tuple[str, int, tuple[str, ...]]]) -> ahocorasick.Automaton:
-    automaton = ahocorasick.Automaton()
-    for pattern, n, ids in found:
-        automaton.add_word(pattern, (len(pattern), n, ids))
-    if found:
-        automaton.make_automaton()
-    return automaton
-
-
-def scan(automaton: ahocorasick.Automaton, text: str | None) -> tuple[int, int, list[str], list[dict]]:
-    """Words, words hit, ids of items with occurring windows, and merged spans of the original text."""
-    words = normalised(text)
-    if not words or not len(automaton):
-        return len(words), 0, [], []
-    line, ids, runs = f" {' '.join(words)} ", set(), []
-    for end, (length, n, owners) in automaton.iter(line):
-        ids.update(owners)
-        runs.append((end - length + 1, n))
-    if not runs:
-        return len(words), 0, [], []
-    # a word's position in the normalised text is that of the space before it
-    at = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
-    first = np.searchsorted(at, [p for p, _ in runs])
-    change = np.zeros(len(words) + 1, np.int64)
-    np.add.at(change, first, 1)
-    np.add.at(change, first + np.array([n for _, n in runs]), -1)
-    hit = np.cumsum(change[:-1]) > 0
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
-    where = [m.span() for m in WORD.finditer(text.translate(_LOWER))]  # one character for one: offsets of the original
-    spans = [{"start": where[a][0], "end": where[b - 1][1], "first_word": int(a), "last_word": int(b) - 1} for a, b in zip(edges[::2], edges[1::2], strict=True)]
-    return len(words), int(hit.sum()), sorted(ids), spans
-
-
-def _scanned(text: Column, found: list[tuple[str, int, tuple[str, ...]]], spark: SparkSession) -> Column:
-    shared = spark.sparkContext.broadcast(found)
+    return {w: tuple(sorted(ids)) for w, ids in owners.items()}
+
+
+@dataclass
+class Finder:
+    numbers: dict[str, int]  # 0 is any other word
+    automaton: ahocorasick.Automaton
+
+    @classmethod
+    def of(cls, found: dict[tuple[str, ...], tuple[str, ...]]) -> Finder:
+        numbers: dict[str, int] = {}
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for words, ids in found.items():
+            automaton.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in words), (len(words), ids))
+        if found:
+            automaton.make_automaton()
+        return cls(numbers, automaton)
+
+    def scan(self, text: str | None) -> tuple[int, int, list[str], list[dict]]:
+        """Words, words hit, ids of items with occurring windows, and merged spans of the original text."""
+        words = normalised(text)
+        if not words or not self.numbers:
+            return len(words), 0, [], []
+        line, ids, runs = tuple(map(self.numbers.get, words, repeat(0))), set(), []
+        for end, (n, owners) in self.automaton.iter(line):
+            ids.update(owners)
+            runs.append((end + 1 - n, end + 1))
+        if not runs:
+            return len(words), 0, [], []
+        change = np.zeros(len(words) + 1, np.int64)
+        np.add.at(change, [a for a, _ in runs], 1)
+        np.add.at(change, [b for _, b in runs], -1)
+        hit = np.cumsum(change[:-1]) > 0
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
+        where = [m.span() for m in WORD.finditer(text.translate(_LOWER))]  # one character for one: offsets of the original
+        spans = [{"start": where[a][0], "end": where[b - 1][1], "first_word": int(a), "last_word": int(b) - 1} for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        return len(words), int(hit.sum()), sorted(ids), spans
+
+
+#: In a worker: the automaton of the part that its tasks scan with, built once and not for each task.
+_built: dict[str, Finder] = {}
+
+
+def joined(a: tuple, b: tuple) -> tuple:
+    """What two automata found in one text: words are hit by either, and touching spans become one."""
+    spans = []
+    for x in sorted([*a[3], *b[3]], key=lambda x: x["first_word"]):
+        if spans and x["first_word"] <= spans[-1]["last_word"] + 1:
+            if x["last_word"] > spans[-1]["last_word"]:
+                spans[-1] = {**spans[-1], "last_word": x["last_word"], "end": x["end"]}
+        else:
+            spans.append(dict(x))
+    return a[0], sum(x["last_word"] - x["first_word"] + 1 for x in spans), sorted({*a[2], *b[2]}), spans
+
+
+def _scanned(text: Column, before: Column | None, part: list[tuple[str, str]], window: int, spark: SparkSession) -> Column:
+    """What one part's automaton finds, joined with what those before it found."""
+    shared, name, names = spark.sparkContext.broadcast(part), uuid.uuid4().hex, ["n_words", "n_hit", "items", "spans"]
+
+    def finder() -> Finder:
+        if name not in _built:
+            _built.clear()
+            _built[name] = Finder.of(patterns(shared.value, window))
+        return _built[name]
 
     @F.pandas_udf(RESULT)
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automaton = build(shared.value)
+    def first(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([scan(automaton, t) for t in texts], columns=["n_words", "n_hit", "items", "spans"])
-
-    return of(text.cast("string"))
+            yield pd.DataFrame([finder().scan(t) for t in texts], columns=names)
 
+    @F.pandas_udf(RESULT)
+    def more(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        for texts, found in batches:
+            yield pd.DataFrame([joined(x, finder().scan(t)) for t, x in zip(texts, found[names].itertuples(index=False, name=None), strict=True)], columns=names)
 
-def _words_hit(spans: Column) -> Column:
-    return F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["first_word"], s["last_word"]))))
+    return first(text.cast("string")) if before is None else more(text.cast("string"), before)
 
 
 def _parts(items: DataFrame, item_col: str, item_text_col: str, window: int, limit: int) -> Iterator[list]:
-    """Patterns of the benchmark, part by part; the driver holds one part at a time."""
+    """Items part by part; the driver holds one part at a time. An item of more words than the limit is cut into several
+    texts that overlap by a window less one word, so every part is bounded."""
     part, size = [], 0
+    step = max(1, limit // window)
     for row in items.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("string")).toLocalIterator():
         if row[0] is None or row[1] is None:
             continue
-        cost = sum(len(p) for p, _, _ in patterns([tuple(row)], window))
-        if part and size + cost > limit:
-            yield patterns(part, window)
-            part, size = [], 0
-        part.append(tuple(row))
-        size += cost
-    yield patterns(part, window)
-
-
-def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, limit: int = AUTOMATON_BYTES) -> DataFrame:
+        words = normalised(row[1])
+        for a in range(0, max(1, len(words) - window + 1), step):
+            piece = words[a : a + step + window - 1]
+            cost = window * max(1, len(piece) - window + 1)
+            if part and size + cost > limit:
+                yield part
+                part, size = [], 0
+            part.append((row[0], " ".join(piece)))
+            size += cost
+    yield part
+
+
+def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, limit: int = AUTOMATON_WORDS) -> DataFrame:
     """df with one more column ``_found``: struct n_words, n_hit, items (sorted ids), spans of the original text.
 
     Null and empty texts have no words. Items whose id or text is null, or that have no words, have no windows; items
     that repeat are one item if their id is the same. Without items nothing is hit. A column ``_found`` that df has is
-    replaced; all other columns pass through whatever their names.
+    replaced; all other columns pass through whatever their names. Equal rows have equal results.
     """
     spark = df.sparkSession
     bound_batches(spark)
-    out = df.drop("_found")
-    kept = out.columns
+    kept = [c for c in df.columns if c != "_found"]
+    (one,) = spare(df, "weft_found")
+    out = df
     for i, part in enumerate(_parts(items, item_col, item_text_col, window, limit)):
-        out = out.withColumn("_found" if not i else "_more", _scanned(F.col(text_col), part, spark))
-        if i:
-            words = F.array_union(_words_hit(F.col("_found.spans")), _words_hit(F.col("_more.spans")))
-            merged = F.struct(F.col("_found.n_words").alias("n_words"), F.size(words).cast("long").alias("n_hit"), F.array_sort(F.array_union("_found.items", "_more.items")).alias("items"), F.array_sort(F.concat("_found.spans", "_more.spans")).alias("spans"))
-            out = out.withColumn("_found", merged).select(*[f"`{c}`" for c in kept], "_found")
-    return out
+        out = out.withColumn(one, _scanned(F.col(text_col), F.col(one) if i else None, part, window, spark))
+    return out.select(*quoted(kept), F.col(one).alias("_found"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents; null texts have no words, items with a null id no windows."""
     found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.checkpointing import cut
-from weft.llm._common import table, text_key
+from weft.llm._common import quoted, spare, table
 
 #: A line found on this many distinct sites is boilerplate.
 SITES = 8
@@ -23,11 +23,11 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
 
 
-def _exploded(texts: DataFrame) -> DataFrame:
-    """(d, k of the document, pos, h1, h2 of the trimmed line, site) for each line with a visible character."""
-    lines = texts.select("d", "k", "site", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).withColumn("line", F.trim("line"))
-    h1, h2 = text_key(F.col("line"))
-    return lines.filter("line <> ''").select("d", "k", "site", "pos", h1.alias("h1"), h2.alias("h2"))
+def _hashed(texts: DataFrame) -> DataFrame:
+    """(d, k of the document, site, lines): of each line with a visible character its position and 128 bits of the trimmed line."""
+    trimmed = F.transform(_lines(F.col("text")), lambda line, i: F.struct(i.cast("int").alias("pos"), F.trim(line).alias("line")))
+    hashed = lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(x["line"]).alias("h1"), F.xxhash64(F.lit("second"), x["line"]).alias("h2"))
+    return texts.select("d", "k", "site", F.transform(F.filter(trimmed, lambda x: x["line"] != ""), hashed).alias("lines"))
 
 
 def spread_lines(lines: DataFrame, sites: int = SITES, lg_k: int = LG_K, sigmas: float = SIGMAS) -> DataFrame:
@@ -52,22 +52,28 @@ def remove_spread_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     Lines are compared without surrounding blanks; blank lines are never removed, nor are a text's other characters
     changed. A null text has no lines and a null ``_clean``; a null site doesn't count as a site, yet its documents lose
     spread lines too. Rows with equal id and text have equal results, whether ids repeat or are null. Other columns
-    pass through.
+    pass through whatever their names; columns ``_removed`` and ``_clean`` are replaced. An empty table gives no rows.
     """
     kept = [c for c in df.columns if c not in ("_removed", "_clean")]
     key = F.xxhash64(F.col(text_col))
     texts = df.select(F.col(id_col).alias("d"), key.alias("k"), F.col(text_col).alias("text"), F.col(site_col).cast("string").alias("site")).filter("text is not null")
-    lines = _exploded(texts)
+    # texts are split and hashed once; what follows reads hashes
+    lines = cut(_hashed(texts), "lines").select("d", "k", "site", F.inline("lines"))
     spread = cut(spread_lines(lines.select("h1", "h2", "site"), sites), "spread")
-    hits = lines.join(spread, ["h1", "h2"], "left_semi").groupBy(F.col("d").alias("_d"), F.col("k").alias("_k")).agg(F.array_sort(F.collect_set("pos")).alias("_removed"))
-    keyed = df.select(*[F.col(f"`{c}`") for c in kept], key.alias("_text_key"))
-    joined = keyed.join(hits, keyed[id_col].eqNullSafe(F.col("_d")) & (F.col("_text_key") == F.col("_k")), "left")
-    removed = F.coalesce("_removed", F.array().cast("array<int>"))
-    wanted = F.array_join(F.filter(_lines(F.col(text_col)), lambda line, i: ~F.array_contains(removed, i)), "\n")
-    return joined.select(*[F.col(f"`{c}`") for c in kept], removed.alias("_removed"), F.when(F.size(removed) == 0, F.col(text_col)).otherwise(wanted).alias("_clean"))
+    tmp, d, k, gone = spare(df, "weft_k", "weft_d", "weft_m", "weft_gone")
+    hits = lines.join(spread, ["h1", "h2"], "left_semi").groupBy(F.col("d").alias(d), F.col("k").alias(k)).agg(F.array_sort(F.collect_set("pos")).alias(gone))
+    keyed = df.select(*quoted(kept), key.alias(tmp))
+    joined = keyed.join(hits, F.col(id_col).eqNullSafe(F.col(d)) & (F.col(tmp) == F.col(k)), "left")
+    removed = F.coalesce(F.col(gone), F.array().cast("array<int>"))
+    split = joined.withColumn(tmp, F.when(F.size(F.col(gone)) > 0, _lines(F.col(text_col))))
+    # positions that stay, by a set difference: a text of many lines costs its size
+    stay = F.array_except(F.sequence(F.lit(0), F.size(tmp) - 1), F.col(gone))
+    left = F.array_join(F.transform(stay, lambda i: F.get(F.col(tmp), i)), "\n")
+    return split.select(*quoted(kept), removed.alias("_removed"), F.when(F.col(tmp).isNull(), F.col(text_col)).otherwise(left).alias("_clean"))
 
 
 def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents; null texts have no lines, equal rows equal results."""
     out = remove_spread_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select(
         "doc_id",

@@ -4,8 +4,9 @@ A run of sentences counts if it has SPAN sentences or more and MIN_WORDS words o
 words, or if it is a whole text of SPAN sentences or more. A sentence goes if it lies in a run whose words occur at an
 earlier place (a smaller document, or further ahead in the same one). Every run that counts has its sentences covered by
 shortest runs inside it, so the shortest that begin at each sentence and the shortest that end at each are hashed, and
-no others. The first places come from an aggregation, so a run that a third of all documents share is combined before it
-is shuffled; the join back to the places is one whose large partitions Spark can split.
+no others. Runs are counted, and of those that occur more than once the first place is found, by aggregations, so a run
+that a third of all documents share is combined before it is shuffled; the joins back to the places are ones whose large
+partitions Spark can split.
 """
 
 from __future__ import annotations
@@ -126,15 +127,16 @@ def remove_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str =
     bound_batches(df.sparkSession)
     kept = [c for c in df.columns if c != "_spans"]
     keyed = df.select(F.col(id_col).alias("d"), F.xxhash64(F.col(text_col)).alias("k"), F.col(text_col).alias("text")).filter("text is not null")
-    # read three times below, so texts are cut and hashed once
-    hashed = cut(keyed.select("d", "k", _hashed(F.col("text"), span, min_words).alias("s")).select("d", "k", "s.*"), "spans")
-    zipped = F.arrays_zip("begin", "end", "h1", "h2", "again")
-    spans = hashed.select("d", "k", F.inline(zipped))
-    across = spans.filter(~F.col("again")).drop("again")
+    # read several times below, so texts are cut and hashed once; rows are numbered there, as a number is short to shuffle
+    hashed = cut(keyed.select(F.monotonically_increasing_id().alias("m"), "d", "k", _hashed(F.col("text"), span, min_words).alias("s")).select("m", "d", "k", "s.*"), "spans")
+    zipped = F.inline(F.arrays_zip("begin", "end", "h1", "h2", "again"))
+    across = hashed.select("m", zipped).filter(~F.col("again")).drop("again")
+    often = cut(across.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2"), "often")
+    candidates = cut(across.join(often, ["h1", "h2"], "left_semi"), "candidates").join(hashed.select("m", "d", "k"), "m")
     place = F.struct(F.col("d").isNull().alias("z"), F.col("d").alias("d"), F.col("k").alias("k"))
-    repeated = across.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("h1", "h2", "first")
-    later = across.join(cut(repeated, "repeated"), ["h1", "h2"]).filter(place != F.col("first")).select("d", "k", "begin", "end")
-    inside = hashed.filter(F.array_contains("again", True)).select("d", "k", F.inline(zipped)).filter("again").select("d", "k", "begin", "end")
+    first = candidates.groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    later = candidates.join(first, ["h1", "h2"]).filter(place != F.col("first")).select("d", "k", "begin", "end")
+    inside = hashed.filter(F.array_contains("again", True)).select("d", "k", zipped).filter("again").select("d", "k", "begin", "end")
     tmp, d, k, found = spare(df, "weft_x", "weft_d", "weft_k", "weft_found")
     marks = later.unionByName(inside).groupBy(F.col("d").alias(d), F.col("k").alias(k)).agg(F.collect_set(F.struct("begin", "end")).alias(found))  # two for each sentence of the text at most
     source = df.select(*quoted(kept), F.xxhash64(F.col(text_col)).alias(tmp))

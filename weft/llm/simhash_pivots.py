@@ -26,13 +26,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
 from weft.checkpointing import cut
 from weft.components import connected_components
 from weft.llm import shingle_sets
-from weft.llm._common import bound_batches, table, utf8
+from weft.llm._common import bound_batches, quoted, spare, table, utf8
 
 BITS, SEED, SHINGLE = 64, 42, 3
 #: Scattered reference fingerprints, made by a rule: the XXH64 of their number.
@@ -173,16 +172,24 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """The rows of df with one row of each component of texts whose five-word shingle sets have a Jaccard similarity of
     0.8 or more: the smallest (id, text hash), nulls last. Wordless texts are one component.
 
-    All columns pass through. Repeated rows with equal id and text are one row afterwards.
+    All columns pass through whatever their names. Of rows with equal id and text the one with the smallest hash of all
+    columns stays, so the same one in each run. An empty table gives no rows.
     """
     labelled = _similar(df, id_col, text_col)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
     group = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("f")))
-    chosen = labelled.groupBy(group.alias("g")).agg(F.min(order).alias("o")).select(_key(F.col("o.i")).alias("_weft_i"), F.col("o.h").alias("_weft_h"))
-    keyed = df.withColumns({"_weft_i": _key(F.col(id_col)), "_weft_h": F.xxhash64(F.col(text_col))})
-    kept = keyed.join(chosen.distinct(), ["_weft_i", "_weft_h"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("_weft_i", "_weft_h").orderBy("_weft_h"))
-    return kept.withColumn("_weft_n", first).filter("_weft_n = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    i, h, n, row = spare(df, "weft_i", "weft_h", "weft_n", "weft_row")
+    times = labelled.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).alias("t")
+    chosen = labelled.groupBy(group.alias("g")).agg(F.min(order).alias("o")).select(F.col("o.i").alias("doc_id"), F.col("o.h").alias("text_hash")).distinct()
+    same = F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.text_hash") == F.col("c.text_hash"))
+    chosen = cut(times.join(chosen.alias("c"), same, "left_semi").select(_key(F.col("doc_id")).alias(i), F.col("text_hash").alias(h), F.col("n").alias(n)), "chosen")
+    keyed = df.withColumns({i: _key(F.col(id_col)), h: F.xxhash64(F.col(text_col))})
+    single = keyed.join(chosen.filter(F.col(n) == 1), [i, h], "left_semi").select(*quoted(df.columns))
+    # what repeats is combined before it is shuffled: a row that a third of the table repeats is no more than others
+    repeats = keyed.join(chosen.filter(F.col(n) > 1), [i, h], "left_semi")
+    whole = F.struct(F.xxhash64(*quoted(df.columns)).alias("z"), *quoted(df.columns)).alias(row)
+    first = repeats.select(i, h, whole).groupBy(i, h).agg(F.min_by(row, F.col(row)["z"]).alias(row))
+    return single.unionByName(first.select(*[F.col(row)[c].alias(c) for c in df.columns]))
 
 
 def _key(column: Column) -> Column:
@@ -190,5 +197,6 @@ def _key(column: Column) -> Column:
 
 
 def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents; null and wordless texts have fingerprint zero, equal rows equal results."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")

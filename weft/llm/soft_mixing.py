@@ -8,8 +8,9 @@ steps: S_k being the totals at the present rates and M_k those at rates of 1, a
     r <- max(0, r - sum_k p_k * (S_k - T_k) / M_k)
 
 the gradient of sum_k (S_k - T_k)^2 / (2 M_k) in the metric of the tokens, in which it has the Lipschitz constant 1, so the
-step size is 1; Nesterov's momentum is added. A step needs K totals of all documents and no more, so it is one pass of a
-small table with one row of sums from each partition. A rate depends on its document's probabilities and the steps so
+step size is 1; Nesterov's momentum is added. It ends when the targets are met, or, if no rates meet them, when the squared
+error falls no more: that is the least-squares solution. If neither happens within STEPS, that is an error. A step needs K
+totals of all documents and no more, so it is one pass of a small table with one row of sums from each partition. A rate depends on its document's probabilities and the steps so
 far alone: it is worked out anew from the steps in each pass, and nothing is kept between passes.
 """
 
@@ -26,12 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.checkpointing import cut
-from weft.llm._common import bound_batches, table, utf8
+from weft.llm._common import bound_batches, quoted, spare, table, utf8
 
 #: Shares of all tokens wanted for each domain of (quality, toxic); a domain without a target gets none.
 TARGETS = {"q1t0": 0.90, "q0t0": 0.08, "q1t1": 0.015, "q0t1": 0.005}
-#: Labelled documents that the classifier is fitted on; buckets of hashed words; steps at most; relative error to stop at.
-FITTED, BUCKETS, STEPS, ENOUGH = 20_000, 1 << 16, 60, 1e-4
+#: Labelled documents that the classifier is fitted on; buckets of hashed words; relative error to stop at.
+FITTED, BUCKETS, ENOUGH = 20_000, 1 << 16, 1e-4
+#: Steps after which the rates must have settled; steps without a lower squared error that say they have; a fall that counts.
+STEPS, STILL, FALL = 400, 12, 1e-3
 _UPPER, _DIGIT = slice(65, 91), slice(48, 58)
 #: ASCII marks other than full stop and comma.
 _MARKS = np.array([c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,"])
@@ -87,12 +90,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Word odds from one half of a bounded sample of labelled documents, weights from the other half.
 
     The sample are the first ``bound`` labels by a hash of the id, broadcast to the documents: a proven bound. An id with
-    several labels counts as its largest. Without labels there is one domain, called "all".
+    several labels counts as its largest, an id of several rows once, with its largest text: the sample is no larger than
+    the bound. Domains are the labels of the sample. Without labels there is one domain, called "all".
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(F.col(label_col).cast("string")).alias("y"))
     chosen = known.withColumn("o", F.xxhash64(F.lit("mix"), F.col("i").cast("string"))).orderBy("o", "i").limit(bound)
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).filter("text is not null")
-    sample = cut(texts.join(F.broadcast(chosen), "i").select("o", "y", "text"), "mix")
+    sample = cut(texts.join(F.broadcast(chosen), "i").groupBy("i", "o", "y").agg(F.max("text").alias("text")).select("o", "y", "text"), "mix")
     domains = [r["y"] for r in sample.select("y").distinct().orderBy("y").collect()]
     if not domains:
         return Classifier(["all"], np.zeros((BUCKETS, 1)), np.zeros(8), np.ones(8), np.zeros((9, 1)))
@@ -154,7 +158,7 @@ def rates_after(p: np.ndarray, steps: list[np.ndarray], ahead: bool = False) ->
 
 
 def solve(members: DataFrame, domains: list[str], targets: dict[str, float], steps: int = STEPS, enough: float = ENOUGH) -> tuple[list[np.ndarray], np.ndarray]:
-    """members (n, p0, ...) -> the steps, and the totals at the last rates."""
+    """members (n, p0, ...) -> the steps, and the totals at the last rates. A domain that no document has gets none."""
     names = [f"p{i}" for i in range(len(domains))]
 
     def totals(done: list[np.ndarray], ahead: bool) -> np.ndarray:
@@ -172,30 +176,36 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float], ste
     want = np.array([targets.get(d, 0.0) for d in domains])
     want = base.sum() * (want / want.sum() if want.sum() else base / max(1e-300, base.sum()))
     done: list[np.ndarray] = []
-    now = base
+    least, since = math.inf, 0
     for _ in range(steps):
         at = totals(done, True) if done else base
-        error = np.where(base > 0, (at - want) / np.maximum(base, 1e-300), 0.0)
         if (np.abs(at - want) <= enough * np.maximum(want, base.sum() * enough)).all():
             break
+        error = np.where(base > 0, (at - want) / np.maximum(base, 1e-300), 0.0)
+        squared = float(error @ (at - want))
+        since = 0 if squared < least * (1 - FALL) else since + 1
+        least = min(least, squared)
+        if since >= STILL:
+            break
         done.append(error)
-    if done:
-        now = totals(done, False)
-    return done, now
+    else:
+        raise RuntimeError(f"the rates didn't settle in {steps} steps: {at.tolist()} instead of {want.tolist()}")
+    return done, totals(done, False) if done else base
 
 
 def mix(df: DataFrame, model: Classifier, targets: dict[str, float], text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
     """df with one more column ``_mix``: struct tokens, p (probabilities by domain name), rate, copies.
 
     copies is rate rounded up or down by a hash of id and text, so its expectation over documents is the rate. Null
-    and empty texts have no tokens and their rate moves no total. All other columns pass through; rows that repeat get
-    equal values; an empty table gives no rows.
+    and empty texts have no tokens and their rate moves no total. All other columns pass through whatever their names;
+    a column ``_mix`` is replaced; rows that repeat get equal values; an empty table gives no rows.
     """
     spark = df.sparkSession
     names = [f"p{i}" for i in range(len(model.domains))]
+    (made,) = spare(df, "weft_rate")
     # columns that pass are written too: the classifier runs once, and rates are read from the same numbers
     kept = [c for c in df.columns if c != "_mix"]
-    scored = cut(df.select(*[F.col(f"`{c}`") for c in kept], classify(F.col(text_col), model, spark).alias("_mix")), "mixed")
+    scored = cut(df.select(*quoted(kept), classify(F.col(text_col), model, spark).alias("_mix")), "mixed")
     steps, _ = solve(scored.select("_mix.*"), model.domains, targets)
 
     @F.pandas_udf("double")
@@ -203,9 +213,9 @@ def mix(df: DataFrame, model: Classifier, targets: dict[str, float], text_col: s
         return pd.Series(np.round(rates_after(np.column_stack([c.to_numpy(float) for c in columns]), steps), 6))
 
     u = (F.shiftrightunsigned(F.xxhash64(F.lit("copies"), F.col(key_col).cast("string"), F.col(text_col)), 11).cast("double") + 0.5) * 2.0**-53
-    rated = scored.withColumn("_rate", rate(*[F.col(f"_mix.{c}") for c in names]))
+    rated = scored.withColumn(made, rate(*[F.col(f"_mix.{c}") for c in names]))
     p = F.struct(*[F.round(F.col(f"_mix.{c}"), 6).alias(d) for c, d in zip(names, model.domains, strict=True)])
-    return rated.select(*[F.col(f"`{c}`") for c in kept], F.struct(F.col("_mix.n").alias("tokens"), p.alias("p"), F.col("_rate").alias("rate"), F.floor(F.col("_rate") + u).cast("int").alias("copies")).alias("_mix"))
+    return rated.select(*quoted(kept), F.struct(F.col("_mix.n").alias("tokens"), p.alias("p"), F.col(made).alias("rate"), F.floor(F.col(made) + u).cast("int").alias("copies")).alias("_mix"))
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:
@@ -214,6 +224,7 @@ def quality_domains(labels: DataFrame) -> DataFrame:
 
 
 def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents; null and empty texts have no tokens, equal rows equal rates."""
     bound_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, quality_domains(table(spark, sf_dir, "labels")))
