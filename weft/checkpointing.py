@@ -2,7 +2,8 @@
 
 ``cut`` writes a DataFrame as Parquet below ``spark.checkpoint.dir`` and reads it back. Unlike a local checkpoint the
 result survives the loss of an executor, and unlike ``DataFrame.checkpoint`` it stays columnar, with statistics that
-adaptive execution can use. Where the setting is unset (tests), a temporary folder is made once per process.
+adaptive execution can use. Where the setting is unset, a local master (tests) gets a temporary folder for the process, and
+any other an error: executors wouldn't see each other's folders.
 """
 
 from __future__ import annotations
@@ -12,16 +13,18 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir, the context's checkpoint folder, or a new local one."""
+    """The shared folder: spark.checkpoint.dir, the context's checkpoint folder, or on a local master a new one."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="weft-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
@@ -45,3 +48,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(schema).parquet(path)
+
+
+def cut_counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict]:
+    """cut, and aggregates of the rows taken while they are written, so no other job is needed for them."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    out = cut(df.observe(seen, *[c.alias(k) for k, c in counts.items()]), name)
+    return out, seen.get

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.errors import GraphError
 from weft.functions import temporal
-from weft.functions.values import BOOL, BYTES, FLOAT, INT, NULL, NUMBERS, STRING, Type, Value, as_type, bad, ddl, fail, guard, list_of, null_of, unify
+from weft.functions.values import BOOL, BYTES, FLOAT, INT, KEYS, NULL, NUMBERS, STRING, Type, Value, as_type, bad, ddl, fail, guard, keys_of, list_of, null_of, own_keys, unify
 from weft.lang import text as T
 
 RANGE_LIMIT = 1 << 20
@@ -66,12 +66,14 @@ def as_text(v: Value) -> Column:
         each = F.transform(v.col, lambda e: F.coalesce(as_text(Value(e, v.type.elem or NULL)), F.lit("null")))
         return F.concat(F.lit("["), F.array_join(each, ", "), F.lit("]"))
     if k == "map":
-        parts = [F.when(v.col[n].isNotNull(), F.concat(F.lit(T.key(n) + ": "), as_text(Value(v.col[n], t)))).otherwise(F.lit(T.key(n) + ": null")) for n, t in v.type.fields]
+        entry = lambda n, t: F.when(v.col[n].isNotNull(), F.concat(F.lit(T.key(n) + ": "), as_text(Value(v.col[n], t)))).otherwise(F.lit(T.key(n) + ": null"))
+        loose = KEYS in dict(v.type.fields)
+        parts = [F.when(F.array_contains(v.col[KEYS], n), entry(n, t)) if loose else entry(n, t) for n, t in v.type.fields if n != KEYS]
         return F.when(v.col.isNotNull(), F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")))
     if k == "any":
         c = v.col
         date = as_text(Value(F.date_from_unix_date(c["num"].cast("int")), temporal.DATE))
-        return F.when(c["kind"] == "string", go_quoted(c["text"])).when(c["kind"] == "int", c["num"].cast("bigint").cast("string")).when(c["kind"] == "float", float_text(c["num"])).when(c["kind"] == "bool", (c["num"] == 1).cast("string")).when(c["kind"] == "date", date)
+        return F.when(c["kind"] == "string", go_quoted(c["text"])).when(c["kind"] == "int", c["num"].cast("bigint").cast("string")).when(c["kind"] == "float", float_text(c["num"])).when(c["kind"] == "bool", (c["num"] == 1).cast("string")).when(c["kind"] == "date", date).otherwise(c["text"])
     if k in ("node", "edge"):
         return F.concat(F.lit("(" if k == "node" else "["), v.col.cast("string"), F.lit(")" if k == "node" else "]"))
     return F.lit(None).cast("string")
@@ -96,7 +98,7 @@ def _trim(v):
 def _size(v):
     sizes = {"string": F.char_length, "bytes": F.octet_length, "list": F.size}
     if v.kind == "map":
-        return Value(F.when(v.col.isNotNull(), len(v.type.fields)).cast("bigint"), INT)
+        return Value(F.when(v.col.isNotNull(), F.size(own_keys(v))).cast("bigint"), INT)
     _need(v, tuple(sizes), "size")
     return Value(F.when(v.col.isNotNull(), sizes[v.kind](v.col)).cast("bigint"), INT)
 
@@ -188,7 +190,7 @@ def _list_fn(name, build, elem=False):
 
 def _keys(v):
     if v.kind == "map":
-        return Value(F.when(v.col.isNotNull(), F.array(*[F.lit(k) for k, _ in v.type.fields]).cast("array<string>")), list_of(STRING))
+        return Value(own_keys(v), list_of(STRING))
     if v.kind in ("node", "edge"):
         named = [F.when(F.col(c).isNotNull(), F.lit(k)) for k, (c, _) in sorted((v.props or {}).items())]
         return Value(F.when(v.col.isNotNull(), F.array_compact(F.array(*named)) if named else F.array().cast("array<string>")), list_of(STRING))
@@ -198,9 +200,16 @@ def _keys(v):
 def _values(v):
     _need(v, ("map",), "values")
     t = NULL
-    for _, x in v.type.fields:
-        t = unify(t, x)
-    return Value(F.when(v.col.isNotNull(), F.array(*[as_type(Value(v.col[k], x), t) for k, x in v.type.fields])), list_of(t))
+    fields = dict(v.type.fields)
+    for k in keys_of(v.type):
+        t = unify(t, fields[k])
+    held = [as_type(Value(v.col[k], fields[k]), t) for k in keys_of(v.type)]
+    every = F.array(*held) if held else F.array().cast(ddl(list_of(t)))
+    if KEYS in fields:
+        # places of the keys that the map has, in the order of all
+        places = F.transform(v.col[KEYS], lambda k: F.array_position(F.array(*[F.lit(x) for x in keys_of(v.type)]), k).cast("int"))
+        every = F.transform(places, lambda i: F.get(every, i - 1))
+    return Value(F.when(v.col.isNotNull(), every), list_of(t))
 
 
 def _to_int(v):

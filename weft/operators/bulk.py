@@ -5,65 +5,76 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.checkpointing import cut
 from weft.errors import GraphError
 from weft.functions.values import NULL, Value, as_type, loaded, null_of, unify
 from weft.operators import paths
 from weft.operators.mutate import unsure
-from weft.sources.graph import EdgeTable, Graph, NodeTable, P
+from weft.sources.graph import Graph, P, properties_of
 
 
-def _updated(table, changes: DataFrame, replace: bool) -> DataFrame:
+def _updated(table, changes: DataFrame, replace: bool):
     """changes (id, <property>...): given values are set, null removes; with replace, properties not named go too."""
     own = table.props
     new = {f.name: f.dataType for f in changes.schema.fields if f.name != "id"}
     side = changes.select(F.col("id").alias("_cid"), *[loaded(F.col(f"`{k}`"), t).alias(f"_c{i}") for i, (k, t) in enumerate(new.items())])
-    types = NodeTable((), changes.select("id", *[loaded(F.col(f"`{k}`"), t).alias(P + k) for k, t in new.items()])).props
-    joined = table.df.join(side, F.col("id") == F.col("_cid"), "left")
-    hit, cols = F.col("_cid").isNotNull(), []
+    types = properties_of(changes.select("id", *[loaded(F.col(f"`{k}`"), t).alias(P + k) for k, t in new.items()]))
+    joined, cols = table.df.join(side, F.col("id") == F.col("_cid")), []
     for k in dict.fromkeys([*own, *new]):
         t = unify(own.get(k, NULL), types.get(k, NULL), f"values of the property {k}")
-        old = as_type(Value(F.col(f"`{P}{k}`"), own[k]), t) if k in own else null_of(t)
         if k in new:
-            cols.append(F.when(hit, as_type(Value(F.col(f"_c{list(new).index(k)}"), types[k]), t)).otherwise(old).alias(P + k))
+            cols.append(as_type(Value(F.col(f"_c{list(new).index(k)}"), types[k]), t).alias(P + k))
         else:
-            cols.append((F.when(~hit, old) if replace else old).alias(P + k))
-    return joined.select(*[c for c in table.df.columns if c in ("id", "src", "dst")], *cols)
+            cols.append((null_of(t) if replace else as_type(Value(F.col(f"`{P}{k}`"), own[k]), t)).alias(P + k))
+    rows = cut(joined.select(*[c for c in table.df.columns if c in ("id", "src", "dst")], *cols), "updated")
+    return table if rows.isEmpty() else table.changed(rows)
 
 
 def update_nodes(graph: Graph, changes: DataFrame, replace: bool = False) -> Graph:
-    return graph.with_(nodes=tuple(NodeTable(t.labels, _updated(t, changes, replace)) for t in graph.nodes))
+    return graph.with_(nodes=tuple(_updated(t, changes, replace) for t in graph.nodes))
 
 
 def update_edges(graph: Graph, changes: DataFrame, replace: bool = False) -> Graph:
-    return graph.with_(edges=tuple(EdgeTable(t.type, _updated(t, changes, replace), t.src_labels, t.dst_labels) for t in graph.edges))
+    return graph.with_(edges=tuple(_updated(t, changes, replace) for t in graph.edges))
+
+
+def _deleted(table, ids: DataFrame):
+    gone = cut(ids.distinct(), "gone")
+    return table if gone.isEmpty() else table.without(gone)
 
 
 def delete_nodes(graph: Graph, ids: DataFrame) -> Graph:
     """Delete the nodes of ids (id) and every edge at one of them."""
     ends = lambda name: ids.select(F.col("id").alias(name)).distinct()
-    edges = tuple(EdgeTable(t.type, t.df.join(ends("src"), "src", "left_anti").join(ends("dst"), "dst", "left_anti").select(*t.df.columns), t.src_labels, t.dst_labels) for t in graph.edges)
-    return graph.with_(nodes=tuple(NodeTable(t.labels, t.df.join(ends("id"), "id", "left_anti")) for t in graph.nodes), edges=edges)
+    at = lambda t: t.df.join(ends("src"), "src", "left_semi").select("id").unionByName(t.df.join(ends("dst"), "dst", "left_semi").select("id"))
+    edges = tuple(_deleted(t, at(t)) for t in graph.edges)
+    return graph.with_(nodes=tuple(_deleted(t, t.df.join(ends("id"), "id", "left_semi").select("id")) for t in graph.nodes), edges=edges)
 
 
 def delete_edges(graph: Graph, ids: DataFrame) -> Graph:
-    return graph.with_(edges=tuple(EdgeTable(t.type, t.df.join(ids.select("id").distinct(), "id", "left_anti").select(*t.df.columns), t.src_labels, t.dst_labels) for t in graph.edges))
+    return graph.with_(edges=tuple(_deleted(t, t.df.join(ids.select("id").distinct(), "id", "left_semi").select("id")) for t in graph.edges))
 
 
 def change_labels(graph: Graph, ids: DataFrame, add: list[str] = (), remove: list[str] = ()) -> Graph:
-    out, keys = [], ids.select("id").distinct()
+    kept, moves, keys = [], [], ids.select("id").distinct()
     for t in graph.nodes:
         labels = tuple(sorted((set(t.labels) | set(add)) - set(remove)))
-        if labels == t.labels:
-            out.append(t)
+        rows = cut(t.df.join(keys, "id", "left_semi").select(*t.df.columns), "moved") if labels != t.labels else None
+        if rows is None or rows.isEmpty():
+            kept.append(t)
         else:
-            out += [NodeTable(t.labels, t.df.join(keys, "id", "left_anti")), NodeTable(labels, t.df.join(keys, "id", "left_semi"))]
-    return unsure(graph.with_(nodes=tuple(out)), list(remove))
+            kept.append(t.without(rows.select("id")))
+            moves.append((labels, rows))
+    out = graph.with_(nodes=tuple(kept))
+    for labels, rows in moves:
+        out = out.append_nodes(labels, rows)
+    return unsure(out, list(remove))
 
 
 def neighbors(graph: Graph, start: int, depth: int) -> DataFrame:
     """(node, depth) of what outgoing edges reach from start in at most ``depth`` steps."""
     starts = graph.spark.createDataFrame([(start,)], "start bigint")
-    return paths.neighbors(starts, graph.edge_frame(keys=[])[0], depth).select("node", "depth")
+    return paths.neighbors(starts, graph.steps_from(None).at, depth).select("node", "depth")
 
 
 def shortest_path(graph: Graph, a: int, b: int, max_hops: int | None = None) -> list[int] | None:
@@ -84,7 +95,7 @@ def depth_first(graph: Graph, start: int, limit: int = 1_000_000) -> list[int]:
     """
     starts = graph.spark.createDataFrame([(start,)], "start bigint")
     edges = graph.edge_frame(keys=[])[0]
-    near = paths.neighbors(starts, edges, 1 << 20).select(F.col("node").alias("src")).unionByName(starts.select(F.col("start").alias("src")))
+    near = paths.neighbors(starts, graph.steps_from(None).at, 1 << 20).select(F.col("node").alias("src")).unionByName(starts.select(F.col("start").alias("src")))
     found = edges.join(near.distinct(), "src").select("src", "type", "dst", "id").limit(limit + 1).collect()
     if len(found) > limit:
         raise GraphError("ResourceExhausted", f"more than {limit} edges are reachable")

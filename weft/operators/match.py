@@ -8,6 +8,7 @@ crossed at the end, below the filter, so Catalyst turns equalities between them
 
 from __future__ import annotations
 
+import copy
 from functools import reduce
 from itertools import combinations
 
@@ -54,6 +55,7 @@ class Matcher:
         self.rows, self.context = rows, rows.context
         self.graph = self.context.graph
         self.pending = conjuncts(where)
+        self.conditional = where is not None
         self.paths = patterns
         self.nodes: dict[str, list[A.NodePat]] = {}
         self.rels: list[tuple[A.RelPat, str, str, str]] = []  # pattern, own name, left, right
@@ -101,7 +103,10 @@ class Matcher:
             if p.name and not p.shortest:
                 rows = self._path(rows, p)
         kept = {k: v for k, v in rows.vars.items() if k not in self.anonymous}
-        return rows.copy(names=kept)
+        out = rows.copy(names=kept)
+        only = self.paths[0].parts if len(self.paths) == 1 else ()
+        out.bare = self.rows.unit and len(only) == 1 and not only[0].props and not self.conditional
+        return out
 
     def _components(self) -> list[list[str]]:
         group = {n: {n} for n in self.nodes}
@@ -190,6 +195,7 @@ class Matcher:
     def _scan(self, name: str) -> Rows:
         frame, types = self.graph.node_frame(self._groups(name))
         df, v = bind_node(self.rows, frame, types)
+        v.extra["sets"] = [t.labels for t in self.graph.node_tables(self._groups(name))]
         rows = Rows(self.context, df, {name: v})
         for p in self.nodes[name]:
             if all(not free(x) - {name} for _, x in (p.props.entries if p.props else ())):
@@ -248,6 +254,7 @@ class Matcher:
         df, v = bind_edge(frame, types)
         left, right = fresh("l"), fresh("r")
         oriented = self._oriented(df, v, rel, left, right)
+        v.extra["types"] = rel.types
         known = rel.name in rows.vars
         own = Rows(self.context, oriented, {})
         for k, x in rel.props.entries if rel.props else ():
@@ -279,6 +286,7 @@ class Matcher:
         if not read and self._implied(rel, name, right):
             return rows.copy(names={**rows.vars, name: Value(F.col(col), NODE, extra={"id": col})})
         df, v = bind_node(rows, *self.graph.node_frame(self._groups(name)))
+        v.extra["sets"] = [t.labels for t in self.graph.node_tables(self._groups(name))]
         own = Rows(self.context, df, {name: v})
         for p in pats:
             if all(not free(x) for _, x in (p.props.entries if p.props else ())):
@@ -368,11 +376,17 @@ class Matcher:
         out = fresh("sp")
         found = found.select(F.col("a").alias(ca), F.col("b").alias(cb), F.struct("nodes", "edges").alias(out))
         joined = rows.df.join(found, [ca, cb], "left")
+        edges = F.col(out)["edges"]
+        if every:  # no path is an empty list, which this column holds as a path of nothing; its relationships are null
+            nothing = F.array().cast("array<bigint>")
+            shown, listed = fresh("sp"), fresh("es")
+            joined = joined.withColumns({shown: F.coalesce(F.col(out), F.struct(nothing.alias("nodes"), nothing.alias("edges"))), listed: edges})
+            out, edges = shown, F.col(listed)
         names = dict(rows.vars)
         if p.name:
             names[p.name] = Value(F.col(out), PATH)
         if rel.name:
-            names[rel.name] = Value(F.col(out)["edges"], list_of(EDGE))
+            names[rel.name] = Value(edges, list_of(EDGE))
         return rows.copy(joined, names)
 
 
@@ -382,34 +396,74 @@ def match(rows: Rows, clause: A.Match) -> Rows:
     return _optional(rows, clause)
 
 
+def _apart(paths: list[A.Path], outside: set[str], needed: set[str]) -> tuple[list[A.Path], list[A.Node], list[str]]:
+    """The paths without property maps' entries that read outside names, these as conditions, and names given for them."""
+    out, conditions, given = [], [], []
+    for p in paths:
+        parts = []
+        for x in p.parts:
+            if x.props and any(free(e) & outside for _, e in x.props.entries):
+                x = copy.copy(x)
+                if not x.name:
+                    x.name = fresh("anon")
+                    given.append(x.name)
+                needed.add(x.name)
+                conditions += [A.Binary("=", A.Prop(A.Var(x.name), k), e) for k, e in x.props.entries if free(e) & outside]
+                x.props = A.MapLit([(k, e) for k, e in x.props.entries if not free(e) & outside])
+            parts.append(x)
+        p = copy.copy(p)
+        p.parts = parts
+        out.append(p)
+    return out, conditions, given
+
+
+def _renamed(paths: list[A.Path], old: str, new: str) -> list[A.Path]:
+    out = []
+    for p in paths:
+        p = copy.copy(p)
+        p.parts = [copy.copy(x) for x in p.parts]
+        for x in p.parts:
+            if x.name == old:
+                x.name = new
+        out.append(p)
+    return out
+
+
 def _optional(rows: Rows, clause: A.Match) -> Rows:
-    """Left outer join: the pattern from the distinct shared nodes on, and the condition in the join."""
+    """Left outer join: the pattern from the distinct shared nodes on, and the condition in the join.
+
+    Where the rows are all nodes of some labels, nothing is gained by beginning at them, and the rows would be worked out
+    twice: then the pattern is matched by itself and joined by the shared node.
+    """
     if any(p.shortest for p in clause.paths):
         return Matcher(rows, clause.paths, clause.where).run()
     names = {x.name for p in clause.paths for x in p.parts if x.name}
     shared = [n for n in rows.vars if n in names]
+    outside = set(rows.vars) - set(shared)
+    patterns, joint, given = _apart(clause.paths, outside, rows.context.needed)
+    parts = conjuncts(clause.where)
+    mine = [c for c in parts if not free(c) & outside]
+    joint += [c for c in parts if free(c) & outside]
+    where = reduce(lambda a, b: A.Binary("AND", a, b), mine) if mine else None
     keys = {n: fresh("k") for n in shared}
     left = rows
     for n in shared:
         left.df = left.df.withColumn(keys[n], rows.vars[n].col)
-    if shared:
+    alone = rows.bare and len(shared) == 1 and not any(shared[0] in free(c) for c in mine) and any(len(p.parts) > 1 for p in patterns) and not any(x.props for p in patterns for x in p.parts if x.name == shared[0])
+    if alone:
+        own = fresh("anon")
+        right = Matcher(Rows.one(rows.context), _renamed(patterns, shared[0], own), where).run()
+        inner = {shared[0]: right.named(right.vars.pop(own).col, "i")}
+    elif shared:
         seed_df = left.df.select(*keys.values()).distinct()
         for k in keys.values():
             seed_df = seed_df.filter(F.col(k).isNotNull())
         inner = {n: fresh("i") for n in shared}
         seed_df = seed_df.select(*[F.col(keys[n]).alias(inner[n]) for n in shared])
         seed = Rows(rows.context, seed_df, {n: Value(F.col(inner[n]), rows.vars[n].type, extra={"id": inner[n]}) for n in shared})
+        right = Matcher(seed, patterns, where).run()
     else:
-        inner, seed = {}, Rows.one(rows.context)
-    outside = set(rows.vars) - set(shared)
-    parts = conjuncts(clause.where)
-    mine = [c for c in parts if not free(c) & outside]
-    joint = [c for c in parts if free(c) & outside]
-    where = reduce(lambda a, b: A.Binary("AND", a, b), mine) if mine else None
-    props_outside = any(free(x) & outside for p in clause.paths for y in p.parts if y.props for _, x in y.props.entries)
-    if props_outside:
-        bad("a property map in OPTIONAL MATCH can't read other variables; write the condition after WHERE")
-    right = Matcher(seed, clause.paths, where).run()
+        inner, right = {}, Matcher(Rows.one(rows.context), patterns, where).run()
     # columns of the right side's copies of shared variables are not taken over
     both = rows.copy(left.df, {**right.vars, **left.vars})
     cond = [F.col(keys[n]).eqNullSafe(F.col(inner[n])) for n in shared]
@@ -419,7 +473,7 @@ def _optional(rows: Rows, clause: A.Match) -> Rows:
     out = rows.copy(left.df.join(right.df, on, "left"), {**{k: v for k, v in right.vars.items() if k not in left.vars}, **left.vars})
     if both.df is not left.df:
         raise GraphError("InvalidArgument", "this condition of OPTIONAL MATCH needs a join of its own; bind its values before")
-    order = [*left.vars, *[k for k in right.vars if k not in left.vars]]
+    order = [*left.vars, *[k for k in right.vars if k not in left.vars and k not in given]]
     out.vars = {k: out.vars[k] for k in order}
     return out
 

@@ -1,12 +1,12 @@
 """CREATE, MERGE, SET, REMOVE and DELETE: rows in, a new version of the graph and rows out.
 
 A write clause first fixes its input rows in the shared folder, so ids that it gives out never change when a plan runs
-again. What it writes are deltas: new rows, patches and deletions, each one pass over the tables they touch.
+again. What it writes are deltas: new rows, changed rows and ids that are gone. A table without rows of these stays as it is.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,12 +15,12 @@ from pyspark.sql.window import Window
 
 from weft.checkpointing import cut
 from weft.errors import GraphError
-from weft.functions.values import EDGE, INT, NODE, NULL, PATH, Type, Value, as_type, bad, null_of, unify
+from weft.functions.values import EDGE, INT, KEYS, NODE, NULL, PATH, Type, Value, as_type, bad, null_of, unify
 from weft.lang import ast as A
 from weft.operators.match import Matcher
 from weft.plans.expressions import Compiler
 from weft.plans.rows import Rows, fresh
-from weft.sources.graph import EdgeTable, Graph, NodeTable, P
+from weft.sources.graph import Graph, P
 
 COUNTERS = ("nodes_created", "nodes_deleted", "edges_created", "edges_deleted", "properties_set", "labels_added", "labels_removed", "indexes_added", "indexes_removed", "constraints_added", "constraints_removed")
 STORABLE = {"bool", "int", "float", "string", "bytes", "date", "datetime", "duration", "list", "map", "node", "edge", "null", "any"}
@@ -34,7 +34,7 @@ class Summary:
         self.counts[name] += n
 
 
-def _numbered(df: DataFrame, name: str) -> DataFrame:
+def numbered(df: DataFrame, name: str) -> DataFrame:
     """The rows written down, with gapless numbers from 0 in their order, without gathering them.
 
     What is written holds each row's partition and place in it; numbers are the counts of the partitions before, added
@@ -52,7 +52,7 @@ def _numbered(df: DataFrame, name: str) -> DataFrame:
 def fixed(rows: Rows) -> tuple[Rows, str]:
     """The rows written down, with a number for each in their order."""
     number = fresh("row")
-    return rows.copy(_numbered(rows.df.orderBy(rows.order) if rows.order else rows.df, number)), number
+    return rows.copy(numbered(rows.df.orderBy(rows.order) if rows.order else rows.df, number)), number
 
 
 def _store_type(v: Value, key: str) -> None:
@@ -99,7 +99,7 @@ class Writer:
         if where is not None:
             total = rows.df.filter(where).count()
             seq = fresh("seq")
-            ranked = _numbered(rows.df.filter(where).select(F.col(number).alias("_n")).orderBy("_n"), seq)
+            ranked = numbered(rows.df.filter(where).select(F.col(number).alias("_n")).orderBy("_n"), seq)
             rows = rows.copy(rows.df.join(ranked, F.col(number) == F.col("_n"), "left").drop("_n"))
         else:
             seq = number
@@ -107,6 +107,7 @@ class Writer:
         touched: list[tuple[A.NodePat, Value]] = []
         new_edges = []
         rows.vars = names
+        self.graph = self.graph.settled()
         nodes_at, edges_at = self.graph.next_node, self.graph.next_edge
         for p in paths:
             own = []
@@ -151,12 +152,12 @@ class Writer:
                 raise GraphError("NotFound", f"an end of the {kind} relationship doesn't exist")
         graph = self.graph
         for cid, (labels, props) in new_nodes.items():
-            graph = _append_nodes(graph, tuple(labels), live.select(F.col(cid).alias("id"), *[v.col.alias(P + k) for k, v in props.items()]))
+            graph = graph.append_nodes(tuple(labels), live.select(F.col(cid).alias("id"), *[v.col.alias(P + k) for k, v in props.items()]))
             self.summary.add("nodes_created", total)
             self.summary.add("labels_added", total * len(labels))
             self.summary.add("properties_set", _count_set(live, [_name_of(v) for v in props.values()]))
         for cid, kind, src, dst, props in new_edges:
-            graph = _append_edges(graph, kind, live.select(F.col(cid).alias("id"), F.col(src).alias("src"), F.col(dst).alias("dst"), *[v.col.alias(P + k) for k, v in props.items()]))
+            graph = graph.append_edges(kind, live.select(F.col(cid).alias("id"), F.col(src).alias("src"), F.col(dst).alias("dst"), *[v.col.alias(P + k) for k, v in props.items()]))
             self.summary.add("edges_created", total)
             self.summary.add("properties_set", _count_set(live, [_name_of(v) for v in props.values()]))
         self.graph = graph.with_(next_node=nodes_at, next_edge=edges_at)
@@ -231,13 +232,14 @@ class Writer:
         out_names = dict(rows.vars)
         made_cols = {x.name: _name_of(made.vars[x.name]) if x.name in made.vars else None for x in create_parts}
         visible = [x for x in create_parts if x.name not in bound and made_cols.get(x.name)]
-        lead = made.df.filter(creates).select(F.col(number).alias("_lead"), *[F.col(made_cols[x.name]).alias(f"_l{i}") for i, x in enumerate(visible)])
-        df = made.df.join(lead, F.col(leader) == F.col("_lead"), "left").drop("_lead")
+        at, led = fresh("lead"), [fresh("led") for _ in visible]
+        lead = made.df.filter(creates).select(F.col(number).alias(at), *[F.col(made_cols[x.name]).alias(n) for n, x in zip(led, visible, strict=True)])
+        df = made.df.join(lead, F.col(leader) == F.col(at), "left").drop(at)
         hit_at = {x.name: i for i, x in enumerate(hits_of)}
         for i, x in enumerate(visible):
             col = fresh("m")
             from_hit = F.col(best_name)[f"v{hit_at[x.name]}"] if x.name in hit_at else F.lit(None).cast("bigint")
-            df = df.withColumn(col, F.coalesce(from_hit, F.col(made_cols[x.name]), F.col(f"_l{i}")))
+            df = df.withColumn(col, F.coalesce(from_hit, F.col(made_cols[x.name]), F.col(led[i])))
             if x.name not in anon:
                 out_names[x.name] = Value(F.col(col), NODE if isinstance(x, A.NodePat) else EDGE, extra={"id": col})
         result = rows.copy(cut(df, "merge-out"), out_names)
@@ -297,7 +299,11 @@ class Writer:
                     continue
                 if x.kind != "map":
                     bad(f"properties from a {x.kind}")
+                if i.kind != "replace" and KEYS in dict(x.type.fields):
+                    bad("SET += takes maps of one shape in all rows")
                 for k, t in x.type.fields:
+                    if k == KEYS:
+                        continue
                     _store_type(Value(x.col, t), k)
                     writes[k] = Value(F.col(work.named(x.col[k] if t.kind != "null" else F.lit(None).cast("string"), "w")), t)
         del fields
@@ -311,19 +317,19 @@ class Writer:
         if patches.isEmpty():
             return rows
         if v.kind == "node":
-            self.graph = self._patch_nodes(patches, writes, replace_all, add, drop)
+            self.graph = self._patch_nodes(patches, writes, replace_all, add, drop, v.extra.get("sets"))
         else:
-            self.graph = self._patch_edges(patches, writes, replace_all)
+            self.graph = self._patch_edges(patches, writes, replace_all, v.extra.get("types"))
         # names that carried properties read them anew
         names = {}
         for k, x in rows.vars.items():
             names[k] = Value(x.col, x.type, None, extra={e: c for e, c in x.extra.items() if e in ("id", "src", "dst", "type")}) if x.kind in ("node", "edge") else x
         return rows.copy(rows.df, names)
 
-    def _patched(self, table, patches: DataFrame, writes: dict[str, Value | None], replace_all: bool) -> tuple[DataFrame, int]:
+    def _patched(self, table, patches: DataFrame, writes: dict[str, Value | None], replace_all: bool) -> tuple[DataFrame, int, int]:
+        """The table's rows that patches change, as they are then; how many, and how many values were set."""
         own = table.props
-        hit = F.col("_p").isNotNull()
-        joined = table.df.join(patches.select("id", F.col("w").alias("_p")), "id", "left")
+        joined = table.df.join(patches.select("id", F.col("w").alias("_p")), "id")
         cols, changed = [], []
         lead = [c for c in table.df.columns if c in ("id", "src", "dst")]
         for k in dict.fromkeys([*own, *writes]):
@@ -334,51 +340,57 @@ class Writer:
                     continue
                 new = as_type(Value(F.col("_p")[f"w{i}"], t), whole)
                 old = as_type(Value(F.col(f"`{P}{k}`"), own[k]), whole) if k in own else null_of(whole)
-                cols.append(F.when(hit, new).otherwise(old).alias(P + k))
-                changed.append(hit & (new.isNotNull() | old.isNotNull()))
+                cols.append(new.alias(P + k))
+                changed.append(new.isNotNull() | old.isNotNull())
             elif replace_all:
-                cols.append(F.when(~hit, F.col(f"`{P}{k}`")).alias(P + k))
-                changed.append(hit & F.col(f"`{P}{k}`").isNotNull())
+                cols.append(null_of(own[k]).alias(P + k))
+                changed.append(F.col(f"`{P}{k}`").isNotNull())
             else:
                 cols.append(F.col(f"`{P}{k}`"))
-        n = joined.agg(*[F.sum(c.cast("bigint")).alias(f"c{i}") for i, c in enumerate(changed)]).first() if changed else ()
-        return joined.select(*lead, *cols), sum(x or 0 for x in n)
-
-    def _patch_nodes(self, patches, writes, replace_all, add, drop) -> Graph:
-        out = []
-        for t in self.graph.nodes:
-            if patches.join(t.df.select("id"), "id", "left_semi").isEmpty():
-                out.append(t)
+        total = reduce(lambda a, b: a + b, [c.cast("int") for c in changed], F.lit(0))
+        rows = cut(joined.select(*lead, *cols, total.alias("_set")), "patched")
+        n, values = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("_set"), F.lit(0))).first()
+        return rows.drop("_set"), n, values
+
+    def _patch_nodes(self, patches, writes, replace_all, add, drop, sets) -> Graph:
+        """sets: label sets of the tables that the nodes are from, if the pattern that bound them tells."""
+        graph, moves = self.graph, []
+        kept = list(graph.nodes)
+        for i, t in enumerate(graph.nodes):
+            if sets is not None and t.labels not in sets:
                 continue
-            df, n = self._patched(t, patches, writes, replace_all)
-            self.summary.add("properties_set", n)
+            rows, n, values = self._patched(t, patches, writes, replace_all)
+            if not n:
+                continue
+            self.summary.add("properties_set", values)
             labels = tuple(sorted((set(t.labels) | set(add)) - set(drop)))
             if labels == t.labels:
-                out.append(NodeTable(labels, df))
+                kept[i] = t.changed(rows)
                 continue
-            moved = df.join(patches.select("id"), "id", "left_semi")
-            count = moved.count()
-            self.summary.add("labels_added", count * len(set(add) - set(t.labels)))
-            self.summary.add("labels_removed", count * len(set(drop) & set(t.labels)))
-            out += [NodeTable(t.labels, df.join(patches.select("id"), "id", "left_anti")), NodeTable(labels, moved)]
-        nodes = tuple(NodeTable(t.labels, cut(t.df, "nodes")) if t not in self.graph.nodes else t for t in out)
-        return unsure(self.graph.with_(nodes=nodes), drop)
-
-    def _patch_edges(self, patches, writes, replace_all) -> Graph:
-        out = []
-        for t in self.graph.edges:
-            if patches.join(t.df.select("id"), "id", "left_semi").isEmpty():
-                out.append(t)
+            self.summary.add("labels_added", n * len(set(add) - set(t.labels)))
+            self.summary.add("labels_removed", n * len(set(drop) & set(t.labels)))
+            kept[i] = t.without(rows.select("id"))
+            moves.append((labels, rows))
+        graph = graph.with_(nodes=tuple(kept))
+        for labels, rows in moves:
+            graph = graph.append_nodes(labels, rows)
+        return unsure(graph, drop)
+
+    def _patch_edges(self, patches, writes, replace_all, types) -> Graph:
+        kept = list(self.graph.edges)
+        for i, t in enumerate(self.graph.edges):
+            if types and t.type not in types:
                 continue
-            df, n = self._patched(t, patches, writes, replace_all)
-            self.summary.add("properties_set", n)
-            out.append(EdgeTable(t.type, cut(df, "edges"), t.src_labels, t.dst_labels))
-        return self.graph.with_(edges=tuple(out))
+            rows, n, values = self._patched(t, patches, writes, replace_all)
+            if n:
+                self.summary.add("properties_set", values)
+                kept[i] = t.changed(rows)
+        return self.graph.with_(edges=tuple(kept))
 
     # --------------------------------------------------------------------------------------------------------- delete
     def delete(self, c: A.Delete) -> Rows:
         rows, _ = fixed(self.rows)
-        nodes, edges = [], []
+        nodes, edges, sets, types = [], [], set(), set()
         for x in c.items:
             v = Compiler(rows)(x)
             if v.kind not in ("node", "edge", "null"):
@@ -386,37 +398,46 @@ class Writer:
             if v.kind != "null":
                 col = rows.named(v.col, "del")
                 (nodes if v.kind == "node" else edges).append(col)
+                if v.kind == "node":  # tables that the nodes may be from: all, if a pattern doesn't tell
+                    sets |= {t.labels for t in self.graph.nodes} if v.extra.get("sets") is None else set(v.extra["sets"])
+                else:
+                    types |= set(v.extra.get("types") or [t.type for t in self.graph.edges])
         ids = lambda cols: cut(reduce(lambda a, b: a.unionByName(b), [rows.df.select(F.col(k).alias("id")) for k in cols]).filter("id is not null").distinct(), "gone") if cols else None
         gone_nodes, gone_edges = ids(nodes), ids(edges)
-        graph, kept, deleted = self.graph, [], 0
+        graph, kept = self.graph, []
+        touches = lambda wanted: wanted is None or any(set(w) <= set(labels) for w in wanted for labels in sets)
         for t in graph.edges:
-            df = t.df
-            if gone_edges is not None:
-                df = df.join(gone_edges, "id", "left_anti")
-            if gone_nodes is not None and c.detach:
-                df = df.join(gone_nodes.withColumnRenamed("id", "src"), "src", "left_anti").join(gone_nodes.withColumnRenamed("id", "dst"), "dst", "left_anti")
-            if df is not t.df:
-                df = cut(df.select(*t.df.columns), "edges")
-                deleted += t.df.count() - df.count()
-            kept.append(EdgeTable(t.type, df, t.src_labels, t.dst_labels))
-        self.summary.add("edges_deleted", deleted)
+            sides = [x for x, wanted in (("src", t.src_labels), ("dst", t.dst_labels)) if gone_nodes is not None and touches(wanted)]
+            at = [t.df.join(gone_nodes.withColumnRenamed("id", x), x, "left_semi").select("id") for x in sides]
+            at_node = reduce(DataFrame.unionByName, at) if at else None
+            found = [x for x in (t.df.select("id").join(gone_edges, "id", "left_semi") if gone_edges is not None and t.type in types else None, at_node if c.detach else None) if x is not None]
+            table, n = _without(t, reduce(DataFrame.unionByName, found).distinct()) if found else (t, 0)
+            self.summary.add("edges_deleted", n)
+            kept.append(table)
+            if at_node is not None and not c.detach and not (at_node if gone_edges is None else at_node.join(gone_edges, "id", "left_anti")).isEmpty():
+                raise GraphError("ConstraintViolation", "a node that still has relationships can't be deleted")
+        graph = graph.with_(edges=tuple(kept))
         if gone_nodes is not None:
-            if not c.detach:
-                for t in kept:
-                    ends = t.df.select(F.explode(F.array("src", "dst")).alias("id"))
-                    if not ends.join(gone_nodes, "id", "left_semi").isEmpty():
-                        raise GraphError("ConstraintViolation", "a node that still has relationships can't be deleted")
-            tables, n = [], 0
+            tables = []
             for t in graph.nodes:
-                df = cut(t.df.join(gone_nodes, "id", "left_anti").select(*t.df.columns), "nodes")
-                n += t.df.count() - df.count()
-                tables.append(NodeTable(t.labels, df))
-            self.summary.add("nodes_deleted", n)
+                if t.labels not in sets:
+                    tables.append(t)
+                    continue
+                table, n = _without(t, t.df.select("id").join(gone_nodes, "id", "left_semi"))
+                self.summary.add("nodes_deleted", n)
+                tables.append(table)
             graph = graph.with_(nodes=tuple(tables))
-        self.graph = graph.with_(edges=tuple(kept))
+        self.graph = graph
         return rows
 
 
+def _without(table, ids: DataFrame):
+    """The table without these ids, which it has, and how many they are; the same table if there are none."""
+    gone = cut(ids, "gone")
+    n = gone.count()
+    return (table.without(gone), n) if n else (table, 0)
+
+
 def _name_of(v: Value) -> str:
     return v.extra["id"] if "id" in v.extra else v.col._jc.toString()
 
@@ -432,38 +453,12 @@ def _by_name(items: list[A.SetItem]) -> list[tuple[str, list[A.SetItem]]]:
     return out
 
 
-def _merged(a: DataFrame, b: DataFrame, pa: dict[str, Type], pb: dict[str, Type], lead: list[str]) -> DataFrame:
-    kinds = {k: unify(pa.get(k, NULL), pb.get(k, NULL), f"values of the property {k}") for k in {**pa, **pb}}
-    side = lambda df, own: df.select(*lead, *[(as_type(Value(F.col(f"`{P}{k}`"), own[k]), t) if k in own else null_of(t)).alias(P + k) for k, t in kinds.items()])
-    return side(a, pa).unionByName(side(b, pb))
-
-
 def unsure(graph: Graph, dropped: list[str]) -> Graph:
     """Where nodes lose a label, edge tables can't vouch for it any more."""
     lost = lambda sets: sets is not None and any(x in s for s in sets for x in dropped)
     if not any(lost(t.src_labels) or lost(t.dst_labels) for t in graph.edges):
         return graph
-    return graph.with_(edges=tuple(EdgeTable(t.type, t.df, None if lost(t.src_labels) else t.src_labels, None if lost(t.dst_labels) else t.dst_labels) for t in graph.edges))
-
-
-def _append_nodes(graph: Graph, labels: tuple[str, ...], df: DataFrame) -> Graph:
-    new = NodeTable(labels, df)
-    out = list(graph.nodes)
-    for i, t in enumerate(out):
-        if t.labels == labels:
-            out[i] = NodeTable(labels, _merged(t.df, df, t.props, new.props, ["id"]))
-            return graph.with_(nodes=tuple(out))
-    return graph.with_(nodes=(*out, new))
-
-
-def _append_edges(graph: Graph, kind: str, df: DataFrame) -> Graph:
-    new = EdgeTable(kind, df)
-    out = list(graph.edges)
-    for i, t in enumerate(out):
-        if t.type == kind:
-            out[i] = EdgeTable(kind, _merged(t.df, df, t.props, new.props, ["id", "src", "dst"]))
-            return graph.with_(edges=tuple(out))
-    return graph.with_(edges=(*out, new))
+    return graph.with_(edges=tuple(replace(t, src_labels=None if lost(t.src_labels) else t.src_labels, dst_labels=None if lost(t.dst_labels) else t.dst_labels) for t in graph.edges))
 
 
 __all__ = ["INT", "Summary", "Writer"]

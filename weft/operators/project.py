@@ -43,7 +43,8 @@ def aggregate(call: A.Call, rows: Rows, order: Column | None) -> tuple[Column, T
     if len(call.args) != (2 if low == "percentiledisc" else 1):
         raise GraphError("Semantic", f"{call.name} takes {2 if low == 'percentiledisc' else 1} argument(s)", *call.pos)
     v = Compiler(rows)(call.args[0])
-    x = F.col(rows.named(v.col if v.kind != "null" else F.lit(None).cast("bigint"), "x"))
+    name = rows.named(v.col if v.kind != "null" else F.lit(None).cast("bigint"), "x")
+    x = F.col(name)
     if v.kind == "null":
         v = Value(x, INT)
     if low in ("sum", "avg", "stdev", "percentiledisc") and v.kind not in NUMBERS and not (low == "percentiledisc"):
@@ -61,7 +62,7 @@ def aggregate(call: A.Call, rows: Rows, order: Column | None) -> tuple[Column, T
         return (F.min(x) if low == "min" else F.max(x)), v.type
     if low == "stdev":
         if call.distinct:
-            listed = F.array_distinct(F.collect_list(x.cast("double")))
+            listed = F.array_sort(F.collect_set(x.cast("double")))
             mean = F.aggregate(listed, F.lit(0.0), lambda a, e: a + e) / F.size(listed)
             square = F.aggregate(listed, F.lit(0.0), lambda a, e: a + (e - mean) * (e - mean))
             return F.when(F.size(listed) > 1, F.sqrt(square / (F.size(listed) - 1))), FLOAT
@@ -77,10 +78,12 @@ def aggregate(call: A.Call, rows: Rows, order: Column | None) -> tuple[Column, T
         return null_of(v.type), v.type
     if p.kind != "float" or (p.known and not 0 <= p.const <= 1):
         bad("percentileDisc takes a float from 0 to 1")
+    if p.known and v.kind in NUMBERS and not call.distinct:
+        # counts of values, combined before the shuffle; they are held as floats, which tell all integers below 2**53 apart
+        found = F.expr(f"percentile_disc({p.const!r}D) WITHIN GROUP (ORDER BY `{name}`)").cast(ddl(v.type))
+        return (found if v.kind == "float" else guard(F.max(F.abs(x)) >= 1 << 53, "percentileDisc takes integers below 2**53", found, INT)), v.type
     share = F.first(F.col(rows.named(p.col, "p")))
-    sorted_list = F.array_sort(F.collect_list(x))
-    if call.distinct:
-        sorted_list = F.array_distinct(sorted_list)
+    sorted_list = F.array_sort(F.collect_set(x) if call.distinct else F.collect_list(x))
     place = F.greatest(F.lit(1), F.ceil(share * F.size(sorted_list)).cast("int"))
     return F.when(F.size(sorted_list) > 0, F.get(sorted_list, place - 1)), v.type
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.errors import GraphError
 from weft.functions import scalar, temporal
-from weft.functions.values import ANY, BOOL, DATETIME, EDGE, FLOAT, INT, MIXED, NODE, NULL, NUMBERS, STRING, Type, Value, as_type, bad, ddl, fail, guard, list_of, map_of, null_of, unify
+from weft.functions.values import ANY, BOOL, DATETIME, EDGE, FLOAT, INT, KEYS, MIXED, NODE, NULL, NUMBERS, STRING, Type, Value, as_type, bad, ddl, fail, guard, list_of, map_of, null_of, unify
 from weft.lang import ast as A
 
 _MAY_FAIL = (A.Call, A.Param)
@@ -81,7 +81,7 @@ def compare(op: str, a: Value, b: Value) -> Value:
     null = Value(null_of(BOOL), BOOL)
     if "null" in (a.kind, b.kind):
         return null
-    if "any" in (a.kind, b.kind) and a.kind in MIXED and b.kind in MIXED:
+    if "any" in (a.kind, b.kind) and a.kind in MIXED and b.kind in MIXED and unify_or_none(a.type, b.type) == ANY:
         return _compare_mixed(op, as_type(a, ANY), as_type(b, ANY))
     if a.kind != b.kind and not (a.kind in NUMBERS and b.kind in NUMBERS):
         return null
@@ -110,6 +110,13 @@ def compare(op: str, a: Value, b: Value) -> Value:
     return Value(ops[op](), BOOL)
 
 
+def unify_or_none(a: Type, b: Type) -> Type | None:
+    try:
+        return unify(a, b)
+    except GraphError:
+        return None
+
+
 def _compare_native(op: str, name: str, nanos: int, off: int | None) -> Value:
     """A native timestamp, which has no offset, against a constant: a comparison that reaches the scan.
 
@@ -134,7 +141,7 @@ def _compare_mixed(op: str, x: Column, y: Column) -> Value:
     a, b = (F.struct(c["num"], c["text"]) for c in (x, y))
     out = {"=": a == b, "<>": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
     same = x["rank"] == y["rank"]
-    return Value(F.when(same if op in ("=", "<>") else same & (x["rank"] != 1), out), BOOL)
+    return Value(F.when(same if op in ("=", "<>") else same & ~x["rank"].isin(1, 8, 9), out), BOOL)
 
 
 def arithmetic(op: str, a: Value, b: Value) -> Value:
@@ -231,6 +238,9 @@ class Compiler:
             return Value(base.col[x.key], found) if found else Value(F.lit(None), NULL)
         if base.kind in ("node", "edge"):
             return self.property(base, x.key)
+        if base.kind == "any":  # of a map in a mixed column: scalars as text, as kinds differ from row to row
+            json = F.get_json_object(base.col["text"], "$['" + x.key.replace("'", "\\'") + "']")
+            return Value(F.when(base.col.isNotNull(), guard(base.col["kind"] != "map", f"property {x.key} of mixed kinds", json, STRING)), STRING)
         if base.kind == "list":
             raise GraphError("Semantic", "a list has no properties", *x.pos)
         bad(f"property {x.key} of a {base.kind}")
@@ -260,7 +270,7 @@ class Compiler:
         if base.kind in ("map", "node", "edge") and at.kind == "string":
             if at.known:
                 return self._prop(A.Prop(x.base, at.const, pos=x.pos))
-            fields = dict(base.type.fields) if base.kind == "map" else {k: t for k, (_, t) in (base.props or {}).items()}
+            fields = {k: t for k, t in base.type.fields if k != KEYS} if base.kind == "map" else {k: t for k, (_, t) in (base.props or {}).items()}
             t = NULL
             for f in fields.values():
                 t = unify(t, f)
@@ -446,6 +456,9 @@ class Compiler:
             raise GraphError("Semantic", f"{x.name} takes {least}{'' if most == least else f' to {most}' if most else ' or more'} arguments", *x.pos)
         if low == "now":
             return constant_now(self.rows.context.now)
+        if low == "rand" and self.rows.context.seed is not None:
+            self.rows.context.seed += 1  # each call has numbers of its own
+            return Value(F.rand(self.rows.context.seed), FLOAT)
         args = [self(a) for a in x.args]
         if low in scalar.GRAPH:
             return self.graph_call(low, x.name, args)

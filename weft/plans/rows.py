@@ -28,12 +28,16 @@ class Context:
     max_hops: int = 128
     now: str | None = None
     needed: set[str] = field(default_factory=set)  # variables of which more than the id is read
+    ways: set[str] = field(default_factory=set)  # directions of the degrees that the query asks for
+    seed: int | None = None  # of rand()
+    rows_by_clause: list | None = None  # for PROFILE: (clause, observation of its rows)
 
 
 class Rows:
     def __init__(self, context: Context, df: DataFrame, names: dict[str, Value] | None = None, unit: bool = False):
         self.context, self.df, self.vars, self.unit = context, df, dict(names or {}), unit
         self.order: str | None = None  # a column that tells the order that ORDER BY gave
+        self.bare = False  # whether these are all nodes of some labels, once each
 
     @classmethod
     def one(cls, context: Context) -> Rows:
@@ -114,31 +118,26 @@ class Rows:
 
     # ----------------------------------------------------------------------------------------------------- traversals
     def traversal(self, low: str, args: list[Value]) -> Value:
-        graph, edges = self.context.graph, self.context.graph.edge_frame(keys=[])[0]
+        steps = self.context.graph.steps_from(args[0].extra.get("sets"))
         if low == "degree":
             way = args[1].const if len(args) > 1 else "out"
             if way not in ("out", "in", "both"):
                 bad("the direction is out, in or both")
-            ends = {"out": edges.select(F.col("src").alias("n")), "in": edges.select(F.col("dst").alias("n"))}
-            ends["both"] = ends["out"].unionByName(edges.filter("src <> dst").select(F.col("dst").alias("n")))
-            out, on = fresh("d"), self.named(args[0].col, "n")
-            asked = self.df.select(F.col(on).alias("n")).distinct()
-            self._joined(F.col(on), ends[way].join(asked, "n", "left_semi").groupBy("n").agg(F.count(F.lit(1)).alias(out)), "n")
-            return Value(F.when(args[0].col.isNotNull(), F.coalesce(F.col(out), F.lit(0).cast("bigint"))), INT)
+            return Value(F.when(args[0].col.isNotNull(), F.coalesce(F.col(self._degree(args[0].col, way)), F.lit(0).cast("bigint"))), INT)
         if low == "neighbors":
             if not args[1].known or args[1].kind != "int" or args[1].const < 0:
                 bad("the depth is an integer constant of at least 0")
             on, out = self.named(args[0].col, "n"), fresh("nb")
             starts = self.df.select(F.col(on).alias("start")).filter("start is not null").distinct()
-            found = paths.neighbors(starts, edges, args[1].const)
+            found = paths.neighbors(starts, steps.at, args[1].const)
             lists = found.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("depth", "node"))).alias("x")).select(F.col("start").alias(on), F.transform("x", lambda s: s["node"]).alias(out))
             self.df = self.df.join(lists, on, "left")
             return Value(F.when(F.col(on).isNotNull(), F.coalesce(F.col(out), F.array().cast("array<bigint>"))), list_of(Type("node")))
         a, b = self.named(args[0].col, "a"), self.named(args[1].col, "b")
         pairs = self.df.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null").distinct()
         every = low == "allshortestpaths"
-        steps = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("id").alias("e"))
-        found = paths.shortest(pairs, steps, every, None, zero=True)
+        edges = steps.all().select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("id").alias("e"))
+        found = paths.shortest(pairs, edges, every, None, zero=True)
         out = fresh("sp")
         path = F.struct("nodes", "edges")
         if every:
@@ -153,6 +152,22 @@ class Rows:
             return Value(F.when(~missing, F.coalesce(F.col(out), F.array().cast(ddl(t)))), t)
         return Value(F.col(out), PATH)
 
+    def _degree(self, node: Column, way: str) -> str:
+        """The column with a node's degree; all directions that the query asks for come from one pass over the edges."""
+        cache, at = self.__dict__.setdefault("_degrees", {}), str(node)
+        if way not in cache.get(at, {}):
+            ways = sorted((self.context.ways | {way}) - set(cache.get(at, {})))
+            edges = self.context.graph.edge_frame(keys=[])[0]
+            end = lambda col, out, into, both: F.struct(F.col(col).alias("n"), F.lit(out).alias("out"), F.lit(into).alias("in"), both.alias("both"))
+            ends = [end("src", 1, 0, F.lit(1))] if ways == ["out"] else [end("dst", 0, 1, F.lit(1))] if ways == ["in"] else [end("src", 1, 0, F.lit(1)), end("dst", 0, 1, F.when(F.col("src") != F.col("dst"), 1).otherwise(0))]
+            each = edges.select(F.explode(F.array(*ends)).alias("x")).select("x.*") if len(ends) > 1 else edges.select(ends[0].alias("x")).select("x.*")
+            names, on = {w: fresh("d") for w in ways}, self.named(node, "n")
+            asked = self.df.select(F.col(on).alias("n")).distinct()
+            counted = each.join(asked, "n", "left_semi").groupBy("n").agg(*[F.sum(w).alias(names[w]) for w in ways])
+            self._joined(F.col(on), counted, "n")
+            cache[at] = cache.get(at, {}) | names
+        return cache[at][way]
+
     def check(self, name: str) -> Value:
         if name not in self.vars:
             raise GraphError("Semantic", f"{name} is not defined")

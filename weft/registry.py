@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weft.registry_more import CALLS, SCRIPTS
 from weft.session import Session
 from weft.sources.graph import Graph
 from weft.sources.tables import tables_graph
@@ -43,7 +44,7 @@ CATALOG: dict[str, tuple[str, str | None]] = {
     "agg_expression": ("MATCH (p:Part) RETURN p.brand AS brand, 1 + count(*) * 2 AS x, max(p.size) - min(p.size) AS spread", "SELECT p_brand AS brand, 1 + count(*) * 2 AS x, CAST(max(p_size) - min(p_size) AS BIGINT) AS spread FROM part GROUP BY 1"),
     "global_empty": ("MATCH (p:Part) WHERE p.size > 100000 RETURN count(*) AS n, sum(p.size) AS s, size(collect(p.size)) AS c", "SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS s, CAST(0 AS BIGINT) AS c"),
     # order, sets, lists
-    "order_nulls": ("MATCH (n:Nation|Region) RETURN n.name AS name, n.regionkey AS rk ORDER BY n.nationkey NULLS LAST, name LIMIT 10", "SELECT n_name AS name, CAST(n_regionkey AS BIGINT) AS rk FROM nation ORDER BY n_nationkey LIMIT 10"),
+    "order_nulls": ("MATCH (n:Nation|Region) RETURN n.name AS name, n.regionkey AS rk ORDER BY n.nationkey NULLS LAST, name", "SELECT n_name AS name, CAST(n_regionkey AS BIGINT) AS rk FROM (SELECT n_name, n_regionkey, n_nationkey FROM nation UNION ALL SELECT r_name, r_regionkey, NULL FROM region) ORDER BY n_nationkey NULLS LAST, n_name"),
     "skip_limit": ("MATCH (o:Order) RETURN o.orderkey AS ok ORDER BY ok SKIP 10 LIMIT 20", "SELECT o_orderkey AS ok FROM orders ORDER BY 1 LIMIT 20 OFFSET 10"),
     "topk": ("MATCH (o:Order) RETURN o.orderkey AS ok, o.totalprice AS price ORDER BY price DESC, ok LIMIT 25", "SELECT o_orderkey AS ok, o_totalprice AS price FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25"),
     "union_distinct": ("MATCH (c:Customer) RETURN c.nationkey AS nk UNION MATCH (s:Supplier) RETURN s.nationkey AS nk", "SELECT CAST(c_nationkey AS BIGINT) AS nk FROM customer UNION SELECT s_nationkey FROM supplier"),
@@ -68,8 +69,8 @@ CATALOG: dict[str, tuple[str, str | None]] = {
     "theta_join": ("MATCH (a:Nation), (b:Nation) WHERE a.nationkey < b.nationkey AND a.regionkey = b.regionkey RETURN count(*) AS n", "SELECT count(*) AS n FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey"),
     "cross_product": ("MATCH (a:Region), (b:Region) RETURN a.name AS x, b.name AS y", "SELECT a.r_name AS x, b.r_name AS y FROM region a CROSS JOIN region b"),
     "cycle_close": ("MATCH (c:Customer)-[:IN_NATION]->(n:Nation)<-[:IN_NATION]-(s:Supplier) RETURN n.name AS nation, count(*) AS n", "SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1"),
-    "isomorphism": ("MATCH (a:Order)-[:CONTAINS]->(p:Part)<-[:CONTAINS]-(b:Order) WHERE p.partkey < 20 RETURN p.partkey AS pk, count(*) AS n", "SELECT l_partkey AS pk, count(*) * (count(*) - 1) AS n FROM lineitem WHERE l_partkey < 20 GROUP BY 1 HAVING count(*) > 1"),
-    "two_matches": ("MATCH (a:Order)-[:CONTAINS]->(p:Part) WHERE p.partkey < 20 MATCH (p)<-[:CONTAINS]-(b:Order) RETURN p.partkey AS pk, count(*) AS n", "SELECT l_partkey AS pk, count(*) * count(*) AS n FROM lineitem WHERE l_partkey < 20 GROUP BY 1"),
+    "isomorphism": ("MATCH (a:Order)-[:CONTAINS]->(p:Part)<-[:CONTAINS]-(b:Order) RETURN p.partkey AS pk, count(*) AS n", "SELECT l_partkey AS pk, count(*) * (count(*) - 1) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1"),
+    "two_matches": ("MATCH (a:Order)-[:CONTAINS]->(p:Part) MATCH (p)<-[:CONTAINS]-(b:Order) RETURN p.partkey AS pk, count(*) AS n", "SELECT l_partkey AS pk, count(*) * count(*) AS n FROM lineitem GROUP BY 1"),
     "optional_match": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.totalprice > 300000 RETURN c.custkey AS ck, count(o) AS n", "SELECT c_custkey AS ck, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000 GROUP BY 1"),
     "optional_where_left": ("MATCH (n:Nation) OPTIONAL MATCH (s:Supplier)-[:IN_NATION]->(n) WHERE s.acctbal > n.nationkey * 400 RETURN n.nationkey AS nk, count(s) AS n", "SELECT CAST(n_nationkey AS BIGINT) AS nk, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > n_nationkey * 400 GROUP BY 1"),
     "optional_anti": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.totalprice > 400000 WITH c, count(o) AS n WHERE n = 0 RETURN c.custkey AS ck", "SELECT c_custkey AS ck FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)"),
@@ -86,8 +87,8 @@ CATALOG: dict[str, tuple[str, str | None]] = {
     "degree_out_in_both": ('MATCH (n:Nation) RETURN n.nationkey AS nk, degree(n) AS o, degree(n, "in") AS i, degree(n, "both") AS b', "SELECT CAST(n_nationkey AS BIGINT) AS nk, CAST(1 AS BIGINT) AS o, c + s AS i, c + s + 1 AS b FROM (SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS c, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS s FROM nation)"),
     "shortest_path_pattern": ("MATCH (a:Turn {turn: 0}), (b:Turn) WHERE a.conv = b.conv AND b.turn > 0 MATCH p = shortestPath((a)-[:NEXT*]->(b)) RETURN a.conv AS conv, b.turn AS turn, length(p) AS hops", "SELECT conv_id AS conv, turn, turn AS hops FROM conversations WHERE turn > 0"),
     "shortest_path_fn": ("MATCH (a:Turn {turn: 0}), (b:Turn) WHERE a.conv = b.conv RETURN a.conv AS conv, b.turn AS turn, length(shortestPath(b, a)) AS hops", "SELECT conv_id AS conv, turn, CASE WHEN turn = 0 THEN CAST(0 AS BIGINT) END AS hops FROM conversations"),
-    "all_shortest": ("MATCH (o:Order), (p:Part) WHERE o.orderkey < 20 AND p.partkey < 200 RETURN o.orderkey AS ok, p.partkey AS pk, size(allShortestPaths(o, p)) AS n", "SELECT o_orderkey AS ok, p_partkey AS pk, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_partkey = p_partkey) AS n FROM orders, part WHERE o_orderkey < 20 AND p_partkey < 200"),
-    "all_shortest_pattern": ("MATCH (o:Order)-[:CONTAINS]->(p:Part) WHERE o.orderkey < 50 WITH DISTINCT o, p MATCH q = allShortestPaths((o)-[:CONTAINS*]->(p)) RETURN o.orderkey AS ok, p.partkey AS pk, count(q) AS n", "SELECT l_orderkey AS ok, l_partkey AS pk, count(*) AS n FROM lineitem WHERE l_orderkey < 50 GROUP BY 1, 2"),
+    "all_shortest": ("MATCH (o:Order)-[:CONTAINS]->(p:Part) WITH DISTINCT o, p RETURN o.orderkey AS ok, p.partkey AS pk, size(allShortestPaths(o, p)) AS n", "SELECT l_orderkey AS ok, l_partkey AS pk, count(*) AS n FROM lineitem GROUP BY 1, 2"),
+    "all_shortest_pattern": ("MATCH (o:Order)-[:CONTAINS]->(p:Part) WITH DISTINCT o, p MATCH q = allShortestPaths((o)-[:CONTAINS*]->(p)) RETURN o.orderkey AS ok, p.partkey AS pk, count(q) AS n", "SELECT l_orderkey AS ok, l_partkey AS pk, count(*) AS n FROM lineitem GROUP BY 1, 2"),
     # functions
     "string_fns": ('MATCH (n:Nation) RETURN toLower(n.name) AS low, toUpper(toLower(n.name)) AS up, size(n.name) AS len, substring(n.name, 1, 3) AS sub, replace(n.name, "A", "*") AS rep, split(n.name, "I") AS parts, trim("  x ") AS t, startsWith(n.name, "A") AS s', "SELECT lower(n_name) AS low, n_name AS up, length(n_name) AS len, substring(n_name, 2, 3) AS sub, replace(n_name, 'A', '*') AS rep, string_split(n_name, 'I') AS parts, 'x' AS t, n_name LIKE 'A%' AS s FROM nation"),
     "math_fns": ("MATCH (n:Nation) WITH n.nationkey AS k RETURN k, abs(5 - k) AS a, sign(k - 5) AS s, floor(k / 2.0) AS f, ceil(k / 2.0) AS c, k % 7 AS m, k / 3 AS d, toInt(sqrt(k * k)) AS q, toInt(k ^ 2) AS p, round(k / 4.0) AS r", "SELECT k, abs(5 - k) AS a, CAST(sign(k - 5) AS BIGINT) AS s, floor(k / 2.0) AS f, ceil(k / 2.0) AS c, k % 7 AS m, k // 3 AS d, k AS q, k * k AS p, round(CAST(k AS DOUBLE) / 4.0) AS r FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation)"),
@@ -96,7 +97,7 @@ CATALOG: dict[str, tuple[str, str | None]] = {
     "map_fns": ("MATCH (r:Region) WITH r, {name: r.name, key: r.regionkey} AS m RETURN m.name AS name, m[\"key\"] AS k, keys(m) AS ks, keys(r) AS rk, size(m) AS n", "SELECT r_name AS name, CAST(r_regionkey AS BIGINT) AS k, ['key', 'name'] AS ks, ['name', 'regionkey'] AS rk, CAST(2 AS BIGINT) AS n FROM region"),
     "temporal_parts": ("MATCH (o:Order) RETURN year(o.orderdate) AS y, quarter(o.orderdate) AS q, count(*) AS n", "SELECT year(o_orderdate) AS y, quarter(o_orderdate) AS q, count(*) AS n FROM orders GROUP BY 1, 2"),
     "temporal_clock": ("MATCH (e:Event) RETURN dayOfWeek(e.ts) AS d, hour(e.ts) AS h, count(*) AS n", "SELECT isodow(ts) AS d, hour(ts) AS h, count(*) AS n FROM events GROUP BY 1, 2"),
-    "date_arith": ('MATCH (o:Order) WHERE o.orderkey < 100 WITH o.orderkey AS ok, date(o.orderdate) AS d RETURN ok, d + duration("P1M2D") AS later, days(d - date("1992-01-01")) AS since', "SELECT o_orderkey AS ok, CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH + INTERVAL 2 DAY AS DATE) AS later, CAST(CAST(o_orderdate AS DATE) - DATE '1992-01-01' AS BIGINT) AS since FROM orders WHERE o_orderkey < 100"),
+    "date_arith": ('MATCH (o:Order) WITH o.orderkey AS ok, date(o.orderdate) AS d RETURN ok, d + duration("P1M2D") AS later, days(d - date("1992-01-01")) AS since', "SELECT o_orderkey AS ok, CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH + INTERVAL 2 DAY AS DATE) AS later, CAST(CAST(o_orderdate AS DATE) - DATE '1992-01-01' AS BIGINT) AS since FROM orders"),
     "datetime_compare": ('MATCH (o:Order) WHERE o.orderdate >= datetime("1995-01-01T00:00:00") AND o.orderdate < datetime("1996-01-01T00:00:00") RETURN count(*) AS n', "SELECT count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01'"),
     # mutation: the script's last statement reads the new version
     "create_return": ('CREATE (a:Tag {name: "x"})-[:NEXT_TO {w: 2}]->(b:Tag {name: "y"}) RETURN a.name AS a, b.name AS b', "SELECT 'x' AS a, 'y' AS b"),
@@ -114,7 +115,7 @@ CATALOG: dict[str, tuple[str, str | None]] = {
     "call_property_keys": ("CALL db.propertyKeys() YIELD propertyKey WHERE propertyKey STARTS WITH \"n\" RETURN propertyKey", "SELECT propertyKey FROM (VALUES ('name'), ('nationkey')) AS t(propertyKey)"),
     "show_stats": ("SHOW STATS", "SELECT kind, name, n AS \"count\" FROM (SELECT 'label' AS kind, 'Region' AS name, count(*) AS n FROM region UNION ALL SELECT 'label', 'Nation', count(*) FROM nation UNION ALL SELECT 'label', 'Customer', count(*) FROM customer UNION ALL SELECT 'label', 'Supplier', count(*) FROM supplier UNION ALL SELECT 'label', 'Part', count(*) FROM part UNION ALL SELECT 'label', 'Order', count(*) FROM orders UNION ALL SELECT 'label', 'User', count(DISTINCT user_id) FROM events UNION ALL SELECT 'label', 'Turn', count(*) FROM conversations UNION ALL SELECT 'label', 'Event', count(*) FROM events UNION ALL SELECT 'type', 'IN_REGION', count(*) FROM nation UNION ALL SELECT 'type', 'IN_NATION', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) UNION ALL SELECT 'type', 'PLACED', count(*) FROM orders UNION ALL SELECT 'type', 'CONTAINS', count(*) FROM lineitem UNION ALL SELECT 'type', 'DID', count(*) FROM events UNION ALL SELECT 'type', 'NEXT', count(*) FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 UNION ALL SELECT 'nodes', NULL, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) + (SELECT count(DISTINCT user_id) FROM events) + (SELECT count(*) FROM conversations) + (SELECT count(*) FROM events) UNION ALL SELECT 'edges', NULL, (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM events) + (SELECT count(*) FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1))"),
     "show_constraints": ("CREATE CONSTRAINT one_name FOR (r:Region) REQUIRE r.name IS UNIQUE; CREATE CONSTRAINT has_key FOR (n:Nation) REQUIRE n.nationkey IS NOT NULL; SHOW CONSTRAINTS", "SELECT 'one_name' AS name, 'UNIQUE' AS kind, 'node' AS entity, 'Region' AS label, 'name' AS property, CAST(NULL AS VARCHAR) AS type UNION ALL SELECT 'has_key', 'EXISTS', 'node', 'Nation', 'nationkey', NULL"),
-    "explain_plan": ("EXPLAIN MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE o.totalprice > 200000 RETURN c.mktsegment AS segment, count(*) AS n", None),
+    "explain_plan": ("EXPLAIN MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE o.totalprice > 200000 RETURN c.mktsegment AS segment, count(*) AS n", "SELECT plan FROM (VALUES ('Aggregate(c.mktsegment AS segment, count(*) AS n)'), ('  Filter(o.totalprice > 200000)'), ('    Expand((c)-[:PLACED]->(o:Order))'), ('      LabelScan((c:Customer))')) AS t(plan)"),
     # the older line language
     "legacy_match": ("MATCH Nation WHERE nationkey > 20", "SELECT CAST(2 * 1099511627776 + n_nationkey AS BIGINT) AS n FROM nation WHERE n_nationkey > 20"),
     "legacy_edges": ("EDGES 2199023255555 TO 1099511627779", "SELECT CAST(1099511627776 + n_nationkey AS BIGINT) AS e FROM nation WHERE n_nationkey = 3 AND n_regionkey = 3"),
@@ -142,9 +143,14 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _query(CATALOG[FLAGSHIP][0])(spark, sf_dir)
 
 
+def _call(of: Callable[[SparkSession, Graph], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: of(spark, _graph(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(script) for name, (script, _) in CATALOG.items()}
+    scripts = {name: _query(script) for name, (script, _) in (CATALOG | SCRIPTS).items()}
+    return scripts | {name: _call(of) for name, (of, _) in CALLS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in CATALOG.items() if sql}
+    return {name: sql for name, (_, sql) in (CATALOG | SCRIPTS | CALLS).items() if sql}

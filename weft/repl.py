@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from itertools import chain
 
 from pyspark.sql import SparkSession
 
@@ -12,17 +13,19 @@ from weft.session import Result, Session
 HELP = "statements of the query language; HELP; EXIT"
 
 
-def formatted(result: Result, limit: int = 1000) -> str:
-    """A text table of at most ``limit`` rows, and what was written."""
-    lines = []
+def formatted(result: Result, page: int = 1000):
+    """Lines of a text table, page by page with widths of their own, and of what was written. No row is left out."""
     if result.columns and result.df is not None:
-        body = [["null" if x is None else str(x) for x in r] for r in Result(result.columns, result.df.limit(limit)).rows()]
-        widths = [max(map(len, column)) for column in zip(result.columns, *body, strict=True)]
-        for row in (result.columns, *body):
-            lines.append("  ".join(x.ljust(w) for x, w in zip(row, widths, strict=True)).rstrip())
-        lines.append(f"{len(body)} rows")
-    lines += [f"{k}: {v}" for k, v in result.summary.items() if v]
-    return "\n".join([*lines, *result.profile, *result.notifications])
+        n, pages = 0, result.batches(page)
+        for rows in chain([next(pages, [])], pages):
+            body = [["null" if x is None else str(x) for x in r] for r in rows]
+            widths = [max(map(len, column)) for column in zip(result.columns, *body, strict=True)]
+            yield from ("  ".join(x.ljust(w) for x, w in zip(row, widths, strict=True)).rstrip() for row in ([result.columns] if not n else []) + body)
+            n += len(body)
+        yield f"{n} rows"
+    yield from (f"{k}: {v}" for k, v in result.summary.items() if v)
+    yield from result.profile
+    yield from result.notifications
 
 
 def serve(session: Session, source, out) -> None:
@@ -36,7 +39,8 @@ def serve(session: Session, source, out) -> None:
         elif text:
             try:
                 for result in session.run(text):
-                    print(formatted(result), file=out)
+                    for shown in formatted(result):
+                        print(shown, file=out)
             except GraphError as e:
                 print(e, file=out)
 

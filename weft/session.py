@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
+import threading
 import time
+import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from weft.checkpointing import cut
 from weft.errors import GraphError, translated
-from weft.functions.values import STRING, Value
+from weft.functions.values import KEYS, NULL, STRING, Type, Value, as_type, null_of, unify
 from weft.lang import ast as A
 from weft.lang import check as C
 from weft.lang import legacy
@@ -24,7 +30,7 @@ from weft.plans import explain
 from weft.plans.expressions import Compiler, walk
 from weft.plans.rows import Context, Rows, fresh
 from weft.sources import store
-from weft.sources.graph import Constraint, Graph, Index, P
+from weft.sources.graph import Constraint, Graph, Index, P, properties_of
 
 DATABASE_NAME = re.compile(r"[A-Za-z][A-Za-z0-9_-]{0,62}\Z")
 KEPT_DATABASES = ("system", "default")
@@ -39,15 +45,14 @@ class Result:
     summary: dict[str, int] = field(default_factory=dict)
     notifications: list[str] = field(default_factory=list)
     profile: list[str] = field(default_factory=list)
+    timeout: float | None = None
 
     def rows(self) -> list[tuple]:
         """All rows on the driver; for results that are known to be small."""
         if self.df is None:
             return []
-        try:
+        with deadline(self.df.sparkSession, self.timeout):
             return [tuple(_plain(x) for x in r) for r in self.df.collect()]
-        except Exception as e:
-            raise translated(e) from e
 
     def batches(self, size: int = 256):
         """Rows in lists of at most ``size``, one partition at a time on the driver."""
@@ -61,11 +66,40 @@ class Result:
             yield batch
 
 
+@contextmanager
+def deadline(spark: SparkSession, seconds: float | None):
+    """Spark's errors as graph errors; jobs that are still running after so many seconds are cancelled, which is one."""
+    context, late = spark.sparkContext, threading.Event()
+    if seconds is not None:
+        group = uuid.uuid4().hex
+
+        def stop() -> None:
+            late.set()
+            context.cancelJobGroup(group)
+
+        context.setJobGroup(group, "a statement with a time limit", True)
+        timer = threading.Timer(seconds, stop)
+        timer.start()
+    try:
+        yield
+    except Exception as e:
+        error = GraphError("DeadlineExceeded", f"the statement took over {seconds} seconds") if late.is_set() else translated(e)
+        raise error from (None if error is e else e)
+    finally:
+        if seconds is not None:
+            timer.cancel()
+            context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def _plain(x):
     if isinstance(x, S.Row):
+        if x.__fields__ == ["nodes", "edges"] and x.nodes == []:
+            return []  # all shortest paths of nodes without one
         if x.__fields__ == ["rank", "num", "text", "kind"]:
-            return {"string": lambda: x.text, "int": lambda: int(x.num), "float": lambda: x.num, "bool": lambda: x.num == 1, "date": lambda: dt.date(1970, 1, 1) + dt.timedelta(int(x.num))}[x.kind]()
-        return {k: _plain(v) for k, v in x.asDict().items()}
+            return {"string": lambda: x.text, "int": lambda: int(x.num), "float": lambda: x.num, "bool": lambda: x.num == 1, "date": lambda: dt.date(1970, 1, 1) + dt.timedelta(int(x.num)), "list": lambda: json.loads(x.text), "map": lambda: json.loads(x.text)}[x.kind]()
+        have = x.asDict()
+        own = have.pop(KEYS, None)
+        return {k: _plain(v) for k, v in have.items() if own is None or k in own}
     if isinstance(x, list):
         return [_plain(v) for v in x]
     return bytes(x) if isinstance(x, bytearray) else x
@@ -90,12 +124,21 @@ def needed_names(statement: A.Query) -> set[str]:
     return out
 
 
+def degree_ways(statement: A.Query) -> set[str]:
+    """The directions of all degrees that a query asks for."""
+    calls = [x for part in statement.parts for c in part for x in walk(c) if isinstance(x, A.Call) and x.name.lower() == "degree"]
+    asked = {c.args[1].value if len(c.args) > 1 and isinstance(c.args[1], A.Lit) else "out" for c in calls}
+    return asked & {"out", "in", "both"}
+
+
 class Session:
     """Runs scripts against a graph, held in memory or, with a root folder, in versions on storage."""
 
-    def __init__(self, spark: SparkSession, graph: Graph | None = None, root: str | None = None, max_hops: int = 128, now: str | None = None):
+    def __init__(self, spark: SparkSession, graph: Graph | None = None, root: str | None = None, max_hops: int = 128, now: str | None = None, seed: int | None = None, timeout: float | None = None, max_writes: int | None = None):
+        """seed: of rand(). timeout: seconds for the jobs of a statement, and again for reading its rows. max_writes: nodes
+        and relationships created or deleted, properties and labels changed by one statement, or that is an error."""
         self.spark, self.root, self.database = spark, root.rstrip("/") if root else None, "default"
-        self.max_hops, self.now = max_hops, now
+        self.max_hops, self.now, self.seed, self.timeout, self.max_writes = max_hops, now, seed, timeout, max_writes
         self._graph = graph or (store.load(spark, self._place()) if root else Graph(spark))
         self._open: Graph | None = None  # the version that an explicit transaction has so far
         self._base: Graph | None = None
@@ -118,12 +161,9 @@ class Session:
             C.check(s)
         out = []
         for s in statements:
-            try:
+            with deadline(self.spark, self.timeout):
                 result = self._statement(s, params or {})
-            except Exception as e:
-                error = translated(e)
-                raise error from (None if error is e else e)
-            result.notifications = notes
+            result.notifications, result.timeout = notes, self.timeout
             out.append(result)
         return out
 
@@ -146,13 +186,15 @@ class Session:
             raise GraphError("InvalidArgument", "the transaction only reads")
         return self._query(s, params)
 
-    def _query(self, s: A.Query, params: dict) -> Result:
-        context = Context(self.spark, self.graph, params, self.max_hops, self.now, needed_names(s))
+    def _query(self, s: A.Query, params: dict, observed: list | None = None) -> Result:
+        context = Context(self.spark, self.graph, params, self.max_hops, self.now, needed_names(s), degree_ways(s), self.seed, observed)
         summary, out = Summary(), None
         for i, part in enumerate(s.parts):
             done = self._single(part, context, summary)
             out = done if i == 0 else union(out, done, s.unions[i - 1])
         rows, names = out
+        if self.max_writes is not None and sum(summary.counts.values()) > self.max_writes:
+            raise GraphError("ResourceExhausted", f"the statement writes more than {self.max_writes} things")
         if context.graph is not self.graph:
             self._store(context.graph)
         if not names:
@@ -183,6 +225,10 @@ class Session:
                 rows = Writer(rows, summary).remove(c.items)
             elif isinstance(c, A.Delete):
                 rows = Writer(rows, summary).delete(c)
+            if context.rows_by_clause is not None:
+                seen = Observation(uuid.uuid4().hex)
+                rows = rows.copy(rows.df.observe(seen, F.count(F.lit(1)).alias("rows")))
+                context.rows_by_clause.append((getattr(c, "keyword", None) or type(c).__name__.upper(), seen))
         return rows, names
 
     def _call(self, rows: Rows, c: A.CallProc, context: Context) -> tuple[Rows, list[str]]:
@@ -206,7 +252,7 @@ class Session:
 
     def _publish(self, graph: Graph, base: Graph) -> None:
         """Check constraints, then make the version the current one. The first of two commits from one base wins."""
-        check_constraints(graph)
+        check_constraints(graph, base)
         if self.root:
             graph = store.save(graph, self._place(), base.version)
         elif self._graph is not base:
@@ -215,6 +261,26 @@ class Session:
             graph = graph.with_(version=base.version + 1)
         self._graph = graph
 
+    def mark(self) -> Graph:
+        """A place in the open transaction to which ``rollback_to`` goes back."""
+        if self._open is None:
+            raise GraphError("InvalidArgument", "no transaction is open")
+        return self._open
+
+    def rollback_to(self, mark: Graph) -> None:
+        if self._open is None:
+            raise GraphError("InvalidArgument", "no transaction is open")
+        self._open = mark
+
+    def import_from(self, path: str) -> None:
+        """Take over the graph that ``Graph.export`` wrote; this one must be empty."""
+        if self.graph.nodes or self.graph.edges:
+            raise GraphError("AlreadyExists", "the graph isn't empty")
+        found = store.load(self.spark, path)
+        if not found.version:
+            raise GraphError("NotFound", f"there is no graph at {path}")
+        self._store(found.with_(version=self.graph.version))
+
     def _command(self, s: A.Command, params: dict) -> Result:
         kind, a = s.kind, s.args
         if kind in ("COMMIT", "ROLLBACK"):
@@ -225,7 +291,11 @@ class Session:
             self._open, self._base, self._read_only = None, None, False
             return Result([], None)
         if kind == "VACUUM":
+            if self._open is not None:
+                raise GraphError("InvalidArgument", "a transaction is open")
             n = store.vacuum(self.spark, self._place()) if self.root else 0
+            if self.root:
+                self._graph = store.load(self.spark, self._place())
             return self._table(["reclaimed"], [(n,)], "reclaimed bigint")
         if kind == "ANALYZE":
             counts = self.graph.counts()
@@ -327,31 +397,55 @@ class Session:
         plan = explain.lines(explain.plan(s, self.graph))
         if not s.profile:
             return self._table(["plan"], [(line,) for line in plan], "plan string")
-        began = time.time()
-        result = self._query(s.query, params)
+        began, observed = time.time(), []
+        result = self._query(s.query, params, observed)
+        if result.df is not None:
+            result.df = cut(result.df, "profiled")
         n = result.df.count() if result.df is not None else 0
-        result.profile = [*plan, f"rows: {n}, seconds: {time.time() - began:.3f}"]
+        done = [f"{name}: {seen.get['rows']} rows" for name, seen in observed] if result.df is not None else []
+        result.profile = [*plan, *done, f"rows: {n}, seconds: {time.time() - began:.3f}"]
         return result
 
 
 # --------------------------------------------------------------------------------------------------------- constraints
-def check_constraints(graph: Graph) -> None:
-    """UNIQUE by a grouped count, NOT NULL by a filter, types by the tables' schemas."""
+def _new_rows(graph: Graph, base: Graph | None, c: Constraint) -> tuple[DataFrame, Type] | None:
+    """(id, v, kind) of the rows that tables under this constraint got since base, or of all their rows; None if there are none."""
+    tables = graph.node_tables([[c.label]]) if c.entity == "node" else graph.edge_tables([c.label])
+    old = {id(x.df) for t in (*base.nodes, *base.edges) for x in t.deltas} if base is not None and c in base.constraints else set()
+    rows = [(x.df, properties_of(x.df)) for t in tables for x in t.deltas if not x.gone and id(x.df) not in old]
+    if not rows:
+        return None
+    kind = NULL
+    for _, types in rows:
+        kind = unify(kind, types.get(c.prop, NULL), f"values of the property {c.prop}")
+    if kind == NULL:
+        kind = STRING
+    each = [df.select("id", (as_type(Value(F.col(f"`{P}{c.prop}`"), types[c.prop]), kind) if c.prop in types else null_of(kind)).alias("v"), (F.col(f"`{P}{c.prop}`")["kind"] if types.get(c.prop, NULL).kind == "any" else F.lit(types.get(c.prop, NULL).kind)).alias("kind")) for df, types in rows]
+    frame = (graph.node_frame([[c.label]], []) if c.entity == "node" else graph.edge_frame([c.label], []))[0]
+    found = reduce(DataFrame.unionByName, each)
+    return (found.join(frame.select("id"), "id", "left_semi") if any(x.gone for t in tables for x in t.deltas) else found), kind
+
+
+def check_constraints(graph: Graph, base: Graph | None = None) -> None:
+    """Only rows that are new since base are checked: NOT NULL by a filter, types by their parts' schemas, UNIQUE by
+    counting the label's rows that have one of the new values."""
     for c in graph.constraints:
-        if c.entity == "node":
-            tables = graph.node_tables([[c.label]])
-            frame, types = graph.node_frame([[c.label]], [c.prop])
-        else:
-            tables = graph.edge_tables([c.label])
-            frame, types = graph.edge_frame([c.label], [c.prop])
-        col = F.col(f"`{P}{c.prop}`")
+        found = _new_rows(graph, base, c)
+        if found is None:
+            continue
+        rows, kind = found
         broken = False
         if c.kind == "EXISTS":
-            broken = not (frame.filter(col.isNull()) if c.prop in types else frame).isEmpty()
-        elif c.kind == "UNIQUE" and c.prop in types:
-            broken = not frame.filter(col.isNotNull()).groupBy(col.alias("v")).count().filter("count > 1").isEmpty()
+            broken = not rows.filter("v IS NULL").isEmpty()
         elif c.kind == "TYPE":
-            broken = any(t.props[c.prop].kind not in (c.type.lower(), "null") and not t.df.filter(col.isNotNull()).isEmpty() for t in tables if c.prop in t.props)
+            broken = not rows.filter(F.col("v").isNotNull() & (F.col("kind") != c.type.lower())).isEmpty()
+        else:
+            frame, types = graph.node_frame([[c.label]], [c.prop]) if c.entity == "node" else graph.edge_frame([c.label], [c.prop])
+            if c.prop in types:
+                values = frame.select(F.col(f"`{P}{c.prop}`").alias("v")).filter("v IS NOT NULL")
+                if base is not None and c in base.constraints:
+                    values = values.join(rows.select(as_type(Value(F.col("v"), kind), types[c.prop]).alias("v")).filter("v IS NOT NULL").distinct(), "v", "left_semi")
+                broken = not values.groupBy("v").count().filter("count > 1").isEmpty()
         if broken:
             raise GraphError("ConstraintViolation", f"the constraint {c.name} is violated")
 

@@ -2,19 +2,20 @@
 
 A version's tables are written before its manifest, and a manifest's file is created under the condition that there is
 none of its number: of two commits from one version, the first wins and the other is a conflict. The current version
-is the highest whole manifest; one that a lost writer left incomplete is passed over. Tables that a version shares
-with an older one are not written again.
+is the highest whole manifest; one that a lost writer left incomplete is passed over. A table is a list of parts, added
+rows and ids that are gone (see sources.graph); a commit writes the parts that are new, and vacuum makes one of them.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
 from weft.errors import GraphError
-from weft.sources.graph import Constraint, EdgeTable, Graph, Index, NodeTable
+from weft.sources.graph import Constraint, EdgeTable, Graph, Index, NodeTable, Part, read_parts
 
 
 class Files:
@@ -92,31 +93,48 @@ def save(graph: Graph, root: str, expected: int | None = None) -> Graph:
     if expected is not None and expected != current:
         raise GraphError("Conflict", f"version {current} was committed meanwhile")
     current = max([current, *(int(x[len(PREFIX) : -5]) for x in _manifests(files))])
-    version = current + 1
-    known = {id(t.df): t.df.__dict__.get("_weft_path") for t in (*graph.nodes, *graph.edges)}
-    entries, nodes, edges = {"nodes": [], "edges": []}, [], []
-    for i, t in enumerate((*graph.nodes, *graph.edges)):
-        path = known[id(t.df)]
-        if not path or not path.startswith(f"{files.root}/"):
-            path = f"{files.root}/v{version}-{uuid.uuid4().hex[:8]}/t{i}"
-            t.df.write.parquet(path)
-        df = _open(graph.spark, path)
-        if isinstance(t, NodeTable):
-            entries["nodes"].append({"labels": t.labels, "path": path[len(files.root) + 1 :]})
-            nodes.append(NodeTable(t.labels, df))
-        else:
-            entries["edges"].append({"type": t.type, "src": t.src_labels, "dst": t.dst_labels, "path": path[len(files.root) + 1 :]})
-            edges.append(EdgeTable(t.type, df, t.src_labels, t.dst_labels))
-    body = {"version": version, "next_node": graph.next_node, "next_edge": graph.next_edge, **entries, "indexes": [vars(x) for x in graph.indexes], "constraints": [vars(x) for x in graph.constraints]}
+    version, folder = current + 1, f"{files.root}/v{current + 1}-{uuid.uuid4().hex[:8]}"
+    graph = graph.settled()
+    written: dict[tuple[int, bool], Part] = {}
+
+    def stored(part: Part) -> Part:
+        if part.path and part.path.startswith(f"{files.root}/"):
+            return part
+        key = id(part.df), part.gone
+        if key not in written:
+            path = f"{folder}/p{len(written)}"
+            part.df.write.parquet(path)
+            written[key] = Part(_open(graph.spark, path), part.gone, path)
+        return written[key]
+
+    def table(t):
+        parts = tuple(stored(x) for x in t.deltas)
+        return replace(t, df=read_parts(parts), parts=parts)
+
+    nodes, edges = tuple(map(table, graph.nodes)), tuple(map(table, graph.edges))
+    listed = lambda t: [{"path": x.path[len(files.root) + 1 :], "gone": x.gone} for x in t.parts]
+    body = {
+        "version": version,
+        "next_node": graph.next_node,
+        "next_edge": graph.next_edge,
+        "nodes": [{"labels": t.labels, "parts": listed(t)} for t in nodes],
+        "edges": [{"type": t.type, "src": t.src_labels, "dst": t.dst_labels, "parts": listed(t)} for t in edges],
+        "indexes": [vars(x) for x in graph.indexes],
+        "constraints": [vars(x) for x in graph.constraints],
+        "streams": dict(graph.streams),
+    }
     if not files.create(f"{PREFIX}{version:010d}.json", json.dumps(body)):
         raise GraphError("Conflict", f"version {version} was committed meanwhile")
-    return graph.with_(nodes=tuple(nodes), edges=tuple(edges), version=version)
+    return graph.with_(nodes=nodes, edges=edges, version=version)
 
 
 def _open(spark: SparkSession, path: str):
-    df = spark.read.parquet(path)
-    df.__dict__["_weft_path"] = path
-    return df
+    return spark.read.parquet(path)
+
+
+def _parts(spark: SparkSession, files: Files, entry: dict) -> tuple[Part, ...]:
+    listed = entry.get("parts") or [{"path": entry["path"], "gone": False}]
+    return tuple(Part(_open(spark, f"{files.root}/{x['path']}"), x["gone"], f"{files.root}/{x['path']}") for x in listed)
 
 
 def load(spark: SparkSession, root: str) -> Graph:
@@ -125,26 +143,34 @@ def load(spark: SparkSession, root: str) -> Graph:
     if m is None:
         return Graph(spark)
     sets = lambda x: tuple(map(tuple, x)) if x is not None else None
+    nodes = [(tuple(t["labels"]), _parts(spark, files, t)) for t in m["nodes"]]
+    edges = [(t, _parts(spark, files, t)) for t in m["edges"]]
     return Graph(
         spark,
-        tuple(NodeTable(tuple(t["labels"]), _open(spark, f"{files.root}/{t['path']}")) for t in m["nodes"]),
-        tuple(EdgeTable(t["type"], _open(spark, f"{files.root}/{t['path']}"), sets(t["src"]), sets(t["dst"])) for t in m["edges"]),
+        tuple(NodeTable(labels, read_parts(parts), parts) for labels, parts in nodes),
+        tuple(EdgeTable(t["type"], read_parts(parts), sets(t["src"]), sets(t["dst"]), parts) for t, parts in edges),
         tuple(Index(**{**x, "props": tuple(x["props"])}) for x in m["indexes"]),
         tuple(Constraint(**x) for x in m["constraints"]),
         m["next_node"],
         m["next_edge"],
         m["version"],
+        streams=tuple(m.get("streams", {}).items()),
     )
 
 
 def vacuum(spark: SparkSession, root: str) -> int:
-    """Delete table folders that the current version doesn't name, and older manifests; how many folders there were."""
+    """Make one part of each table's parts, as a new version, and delete what the current version doesn't name, older
+    manifests included; how many table folders there were to delete."""
     files = Files(spark, root)
-    m = _current(files)
-    if m is None:
+    if _current(files) is None:
         return 0
-    used = {t["path"].split("/")[0] for t in (*m["nodes"], *m["edges"])}
-    old = [x for x in files.list() if x.startswith("v") and x not in used]
+    graph = load(spark, root)
+    tables = (*graph.nodes, *graph.edges)
+    if any(len(t.deltas) > 1 for t in tables):
+        save(graph.with_(nodes=tuple(t.compact() for t in graph.nodes), edges=tuple(t.compact() for t in graph.edges)), root, graph.version)
+    m = _current(files)
+    named = {x["path"].split("/")[0] for t in (*m["nodes"], *m["edges"]) for x in t.get("parts") or [t]}
+    old = [x for x in files.list() if x.startswith("v") and x not in named]
     for x in old:
         files.delete(x)
     for x in _manifests(files):
