@@ -110,14 +110,18 @@ class Predictor:
         self.second = np.ascontiguousarray(pair(one[2][2], one[2][3]), np.float32)
 
     def pooled(self, x: np.ndarray) -> np.ndarray:
-        n, width = x.shape
-        pairs = (x[:, :-1].astype(np.uint16) << 8) | x[:, 1:]
-        z = self.first[pairs]
-        z[:, : width - 2, FILTERS : 2 * FILTERS] += self.third[x[:, 2:]]
-        z[:, : width - 3, 2 * FILTERS :] += self.second[pairs[:, 2:]]
-        out = np.empty((n, 3 * FILTERS), np.float32)
-        for c, w in enumerate(WIDTHS):
-            out[:, c * FILTERS : (c + 1) * FILTERS] = z[:, : width - w + 1, c * FILTERS : (c + 1) * FILTERS].max(axis=1)
+        """Places come first in memory, so rows are added and compared whole, and the maximum runs over long rows."""
+        width = x.shape[1]
+        low = np.ascontiguousarray(x.T)
+        pairs = (low[:-1].astype(np.intp) << 8) | low[1:]
+        z = np.take(self.first, pairs, axis=0, mode="clip")
+        z[: width - 2, :, FILTERS : 2 * FILTERS] += np.take(self.third, low[2:], axis=0, mode="clip")
+        z[: width - 3, :, 2 * FILTERS :] += np.take(self.second, pairs[2:], axis=0, mode="clip")
+        # a filter of width w ends w - 1 places before the window does
+        out = z[: width - 3].max(axis=0)
+        for c, w in enumerate(WIDTHS[:-1]):
+            part = slice(c * FILTERS, (c + 1) * FILTERS)
+            out[:, part] = np.maximum(out[:, part], z[width - 3 : width - w + 1, :, part].max(axis=0))
         return out
 
     def windows(self, x: np.ndarray) -> np.ndarray:
