@@ -30,7 +30,7 @@ def _toxic(df):
 
 def _clean(df):
     items = df.sparkSession.createDataFrame([(1, PASSAGE), (2, "word"), (None, "word"), (3, None)], "item_id bigint, text string")
-    return decontaminate.decontaminate(df, items, limit=60)
+    return decontaminate.decontaminate(df, items, limit=150)
 
 
 PASSING = {

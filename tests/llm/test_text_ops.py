@@ -20,7 +20,7 @@ def test_decontamination(spark, docs):
     rows = [*EDGE, *((100 + i, ", ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 300)))) for i in range(25)), *((200 + n, f"start! {t} end") for n, (_, t) in enumerate(items) if t)]
     frame = spark.createDataFrame(items, "item_id bigint, text string")
     known = [(i, t) for i, t in items if i is not None]
-    for limit in (decontaminate.AUTOMATON_WORDS, 60):  # one automaton, and one after the other
+    for limit in (decontaminate.AUTOMATON_CHARS, 300):  # one automaton, and one after the other
         out = decontaminate.decontaminate(docs(rows), frame, limit=limit).collect()
         assert len(out) == len(rows)
         for r in out:

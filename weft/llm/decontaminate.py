@@ -1,8 +1,9 @@
 """Benchmark decontamination with an Aho-Corasick automaton.
 
-Item texts are normalised to words; every run of ``window`` words (a shorter item is one window) becomes a pattern, a
-sequence of word numbers. One automaton holds all patterns; a document's words, as numbers, are scanned once, and the
-place of a match is that of its words, which maps to character offsets of the original text.
+Item texts are normalised to words; every run of ``window`` words (a shorter item is one window) becomes a pattern,
+words joined and bounded by single spaces. One automaton holds all patterns and each document's normalised text is
+scanned once. The position of a match in the normalised text is mapped to word numbers and from these to character
+offsets of the original text.
 """
 
 from __future__ import annotations
@@ -12,8 +13,6 @@ import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -24,10 +23,11 @@ from pyspark.sql import functions as F
 from weft.llm._common import LOWER, UPPER, bound_batches, quoted, spare, table
 
 WINDOW = 10
-#: Words of patterns that one automaton may hold: a word is a state of about 100 bytes at most, so 200 MB in a worker, and
-#: its items, a tenth of that, are what is broadcast. A benchmark with more is cut into parts by item; the documents then
-#: pass one automaton after the other, and the results are merged.
-AUTOMATON_WORDS = 2_000_000
+#: Characters of patterns that one automaton may hold. A character is a state of about 40 bytes, so 160 MB in a worker; its
+#: items, about a tenth of the patterns, are what is broadcast. A benchmark with more is cut into parts; a document's text
+#: then passes one automaton after the other, and the results are merged. (An automaton over word numbers has a sixth of
+#: the states, but takes two and a half times as long to scan with.)
+AUTOMATON_CHARS = 4 << 20
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans(UPPER, LOWER)
 _SPANS = "array<struct<start:int,end:int,first_word:int,last_word:int>>"
@@ -48,35 +48,34 @@ def patterns(items: list[tuple[str, str | None]], window: int = WINDOW) -> dict[
     return {w: tuple(sorted(ids)) for w, ids in owners.items()}
 
 
-@dataclass
 class Finder:
-    numbers: dict[str, int]  # 0 is any other word
-    automaton: ahocorasick.Automaton
+    """The automaton of some windows."""
 
-    @classmethod
-    def of(cls, found: dict[tuple[str, ...], tuple[str, ...]]) -> Finder:
-        numbers: dict[str, int] = {}
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    def __init__(self, found: dict[tuple[str, ...], tuple[str, ...]]):
+        self.automaton = ahocorasick.Automaton()
         for words, ids in found.items():
-            automaton.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in words), (len(words), ids))
+            pattern = f" {' '.join(words)} "
+            self.automaton.add_word(pattern, (len(pattern), len(words), ids))
         if found:
-            automaton.make_automaton()
-        return cls(numbers, automaton)
+            self.automaton.make_automaton()
 
     def scan(self, text: str | None) -> tuple[int, int, list[str], list[dict]]:
         """Words, words hit, ids of items with occurring windows, and merged spans of the original text."""
         words = normalised(text)
-        if not words or not self.numbers:
+        if not words or not len(self.automaton):
             return len(words), 0, [], []
-        line, ids, runs = tuple(map(self.numbers.get, words, repeat(0))), set(), []
-        for end, (n, owners) in self.automaton.iter(line):
+        ids, runs = set(), []
+        for end, (length, n, owners) in self.automaton.iter(f" {' '.join(words)} "):
             ids.update(owners)
-            runs.append((end + 1 - n, end + 1))
+            runs.append((end - length + 1, n))
         if not runs:
             return len(words), 0, [], []
+        # a word's position in the normalised text is that of the space before it
+        at = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
+        first = np.searchsorted(at, [p for p, _ in runs])
         change = np.zeros(len(words) + 1, np.int64)
-        np.add.at(change, [a for a, _ in runs], 1)
-        np.add.at(change, [b for _, b in runs], -1)
+        np.add.at(change, first, 1)
+        np.add.at(change, first + np.array([n for _, n in runs]), -1)
         hit = np.cumsum(change[:-1]) > 0
         edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
         where = [m.span() for m in WORD.finditer(text.translate(_LOWER))]  # one character for one: offsets of the original
@@ -107,7 +106,7 @@ def _scanned(text: Column, before: Column | None, part: list[tuple[str, str]], w
     def finder() -> Finder:
         if name not in _built:
             _built.clear()
-            _built[name] = Finder.of(patterns(shared.value, window))
+            _built[name] = Finder(patterns(shared.value, window))
         return _built[name]
 
     @F.pandas_udf(RESULT)
@@ -124,26 +123,30 @@ def _scanned(text: Column, before: Column | None, part: list[tuple[str, str]], w
 
 
 def _parts(items: DataFrame, item_col: str, item_text_col: str, window: int, limit: int) -> Iterator[list]:
-    """Items part by part; the driver holds one part at a time. An item of more words than the limit is cut into several
-    texts that overlap by a window less one word, so every part is bounded."""
+    """Items part by part; the driver holds one part at a time. An item that a part has no room for goes on in the next one,
+    with texts that overlap by a window less one word, so every part is bounded."""
     part, size = [], 0
-    step = max(1, limit // window)
     for row in items.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("string")).toLocalIterator():
         if row[0] is None or row[1] is None:
             continue
         words = normalised(row[1])
-        for a in range(0, max(1, len(words) - window + 1), step):
-            piece = words[a : a + step + window - 1]
-            cost = window * max(1, len(piece) - window + 1)
-            if part and size + cost > limit:
+        begin = 0
+        while begin <= max(0, len(words) - window) and words:
+            # windows from here on, as many as the part has room for, one at least
+            end, cost = begin, 0
+            while end == begin or (end <= len(words) - window and size + cost <= limit):
+                cost += sum(map(len, words[end : end + window])) + window + 1
+                end += 1
+            part.append((row[0], " ".join(words[begin : end - 1 + window])))
+            size += cost
+            begin = end
+            if size > limit:
                 yield part
                 part, size = [], 0
-            part.append((row[0], " ".join(piece)))
-            size += cost
     yield part
 
 
-def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, limit: int = AUTOMATON_WORDS) -> DataFrame:
+def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, limit: int = AUTOMATON_CHARS) -> DataFrame:
     """df with one more column ``_found``: struct n_words, n_hit, items (sorted ids), spans of the original text.
 
     Null and empty texts have no words. Items whose id or text is null, or that have no words, have no windows; items
