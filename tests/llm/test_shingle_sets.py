@@ -44,3 +44,18 @@ def test_keep_one_against_brute_force(spark, docs):
     assert near > 30
     want = sorted(min(rows[j][0] for j in range(len(rows)) if component[j] == c) for c in set(component))
     assert sorted(r.doc_id for r in m.keep_one(docs(rows)).collect()) == want
+
+
+def test_signatures_agree_as_minima_do(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from weft.llm import shingle_sets as S
+
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 1 << 63, (30, S.BANDS * S.ROWS)).astype(np.uint64) << np.uint64(1)
+    b = np.where(rng.random(a.shape) < 0.6, a, rng.integers(0, 1 << 63, a.shape).astype(np.uint64) << np.uint64(1))
+    assert ((S.signature(a[0]) == S.signature(b[0])).sum() < 5) and len(set(S.signature(a[0]).view(np.uint8).tolist())) > 40
+    rows = [(i, S.signature(x).tolist(), S.signature(y).tolist()) for i, (x, y) in enumerate(zip(a, b, strict=True))]
+    out = spark.createDataFrame(rows, "i int, a array<long>, b array<long>").select("i", S.alike(F.col("a"), F.col("b")).alias("n")).collect()
+    assert all(r.n == int((S.signature(a[r.i]).view(np.uint8) == S.signature(b[r.i]).view(np.uint8)).sum()) for r in out)

@@ -160,12 +160,12 @@ def _similar(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     source = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     rows = cut(source.select("doc_id", "text_hash", shingle_sets.sketch_column(F.col("text")).alias("s")).select("doc_id", "text_hash", "s.*"), "sketches")
     place = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
-    prints = cut(rows.groupBy("f").agg(F.min("doc_id").alias("first"), F.min(place).alias("o"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
+    prints = cut(rows.groupBy("f").agg(F.min("doc_id").alias("first"), F.min(place).alias("o"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("signature").alias("signature")), "distinct")
     members = shingle_sets.grouped(prints)
     wanted = prints.join(members.select("f").distinct(), "f").select("f", _key(F.col("o.i")).alias("i"), F.col("o.h").alias("text_hash"))
     texts = source.withColumn("i", _key(F.col("doc_id"))).join(wanted, ["i", "text_hash"]).select("f", shingle_sets.set_column(F.col("text")).alias("shingles"))
     sets = cut(texts.groupBy("f").agg(F.first("shingles").alias("shingles")), "sets")
-    return _labelled(rows, prints, shingle_sets.links(members, sets))
+    return _labelled(rows, prints, shingle_sets.links(members, sets, prints))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
