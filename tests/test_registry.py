@@ -4,7 +4,7 @@ import pytest
 from weft import registry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["one_hop", "tpch_like_revenue", "optional_where_left", "isomorphism", "varlen_1_3", "degree_out_in_both", "all_shortest", "collect_sorted", "date_arith", "set_map", "detach_delete", "legacy_neighbors"]
+SOME = ["one_hop", "tpch_like_revenue", "optional_where_left", "isomorphism", "varlen_1_3", "degree_out_in_both", "all_shortest", "collect_sorted", "date_arith", "set_map", "detach_delete", "legacy_neighbors", "map_shapes", "mixed_list", "optional_outer_props", "theta_less", "percentile_float", "create_after_load", "legacy_update_node", "call_neighbors", "errors_undo", "stream_edges"]
 
 
 @pytest.fixture(scope="module")
