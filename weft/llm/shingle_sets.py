@@ -1,17 +1,7 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingle sets, at least 0.8, verified exactly.
+"""Five-word shingle sets: their sketches, and the exact check that their Jaccard similarity is 0.8 or more.
 
-SimHash can't draw this line: texts of similarity 0.8 differ in ten of 64 bits on average, and no choice of whole blocks
-is left intact by so many. So pairs meet through MinHash: BANDS keys of ROWS minima each. A pair of similarity 0.8 has
-no common key with probability (1 - 0.8 ** 4) ** 20 = 3e-5, a closer pair less. Every pair that has one is settled:
-
-* each member of a key's group is compared with the group's hub, the member whose groups are the largest: the text that
-  others are copies of shares keys with all of them, copies among each other share fewer. What links makes components;
-* each member outside its hub's component is compared with those members of the group in other components whose minima
-  agree with its own in ALIKE of 80 places: a pair of similarity 0.8 has fewer with probability 3e-3, one of 0.85 with 2e-5.
-
-Pairs inside a component needn't be compared, so a group of copies costs about its size, and no group is capped. What can
-cost up to a group's square are members that share minima without being similar to the hub; they are told apart by a few
-machine words, and only pairs that pass are made rows.
+Which texts are compared is decided by ``vote_pivots``: by SimHash fingerprints and tables of nearest pivots. Its links make
+classes, and every pair of a class that isn't linked yet by others is settled here by the sets themselves.
 """
 
 from __future__ import annotations
@@ -25,17 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from weft.checkpointing import cut
-from weft.components import connected_components
+from weft.llm import vote_pivots
 from weft.llm._common import utf8
 
 SHINGLE, SEED, BANDS, ROWS = 5, 42, 20, 4
-#: Of the BANDS * ROWS minima, those that must agree before two sets are compared.
-ALIKE = 54
-#: Shingles whose minima are taken in one step, so that a text of any length needs little memory.
-STEP = 1 << 12
-_A = np.array([xxh64_intdigest(f"factor {i}".encode(), SEED) | 1 for i in range(BANDS * ROWS)], np.uint64)
-_B = np.array([xxh64_intdigest(f"offset {i}".encode(), SEED) for i in range(BANDS * ROWS)], np.uint64)
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
@@ -47,36 +30,23 @@ def shingle_set(text: bytes | None) -> np.ndarray:
     return np.unique(np.fromiter(map(xxh64_intdigest, runs, repeat(SEED)), np.uint64, len(runs)))
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), STEP):
-        least = np.minimum(least, (shingles[i : i + STEP, None] * _A + _B).min(axis=0))
-    return least
-
-
-def band_keys(least: np.ndarray) -> np.ndarray:
-    """BANDS signed keys."""
-    return np.array([xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
-
-
 def signature(least: np.ndarray) -> np.ndarray:
     """A byte of each minimum, eight to a signed number. The upper bytes of a minimum are zero more often than not."""
     return (least >> np.uint64(16)).astype(np.uint8).view("<i8")
 
 
 def sketch_column(text: Column) -> Column:
-    """Struct f (64 bits that stand for the words), n (shingles), keys (band keys) and signature; an empty set has neither."""
+    """Struct f (64 bits that stand for the words), print (the SimHash of the shingle set) and keys (one for each table of
+    pivots); an empty set has no keys."""
 
-    @F.pandas_udf("f long, n long, keys array<long>, signature array<long>")
+    @F.pandas_udf("f long, print array<long>, keys array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = []
-            for t in texts:
-                s = shingle_set(t)
-                f = xxh64_intdigest(b" ".join((t or b"").lower().split()), SEED)
-                least = minima(s)
-                rows.append((f - (1 << 64) if f >> 63 else f, len(s), band_keys(least) if len(s) else [], signature(least) if len(s) else []))
-            yield pd.DataFrame(rows, columns=["f", "n", "keys", "signature"])
+            sets = [shingle_set(t) for t in texts]
+            votes = np.array([vote_pivots.votes(s) for s in sets], np.int64).reshape(len(sets), vote_pivots.WIDTH)
+            f = np.array([xxh64_intdigest(b" ".join((t or b"").lower().split()), SEED) for t in texts], np.uint64).view(np.int64)
+            keys = [k if len(s) else k[:0] for k, s in zip(vote_pivots.table_keys(votes), sets, strict=True)]
+            yield pd.DataFrame({"f": f, "print": [vote_pivots.fingerprint(v) for v in votes], "keys": keys})
 
     return of(utf8(text))
 
@@ -102,56 +72,33 @@ def set_column(text: Column) -> Column:
     return of(utf8(text))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b) with sizes na and nb, those of similarity 0.8 or more."""
-    possible = pairs.filter((5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (F.col("a") != F.col("b")))
-    first = possible.select("a", "b", "na", "nb").distinct().join(sets.select(F.col("f").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = first.join(sets.select(F.col("f").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(5 * common >= 4 * (F.col("na") + F.col("nb") - common)).select("a", "b")
-
-
-def grouped(prints: DataFrame) -> DataFrame:
-    """Distinct (f, n, keys) -> one row (k, f, n, a, na) for each member of a key's group; a is the group's hub."""
-    dealt = prints.select(F.explode("keys").alias("k"), "f", "n")
-    sizes = dealt.groupBy("k").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    inside = cut(dealt.join(sizes, "k"), "inside")
-    weights = inside.groupBy("f").agg(F.sum("size").alias("w"))
-    weighted = cut(inside.join(weights, "f").select("k", "f", "n", "w"), "weighted")
-    hubs = weighted.groupBy("k").agg(F.max(F.struct("w", "f", "n")).alias("o"))
-    return cut(weighted.join(hubs.select("k", F.col("o.f").alias("a"), F.col("o.n").alias("na")), "k").drop("w"), "bands")
-
-
-def _within(stars: DataFrame) -> DataFrame:
-    """(f, c): the component of each f that has a link."""
-    return cut(connected_components(stars).select(F.col("node").alias("f"), F.col("component").alias("c")), "star-components")
-
-
-def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """members with c, the component of f, and main, that of a."""
-    known = members.join(found, "f", "left").join(found.select(F.col("f").alias("a"), F.col("c").alias("ca")), "a", "left")
-    return cut(known.select("k", "f", "n", "a", "na", F.coalesce("c", "f").alias("c"), F.coalesce("ca", "a").alias("main")), "banded")
-
-
-def links(members: DataFrame, sets: DataFrame, prints: DataFrame) -> DataFrame:
-    """Rows of ``grouped``, the sets (f, shingles) of their f, and all (f, keys, signature) -> edges (a, b) with the
-    components of all similar pairs.
-
-    Verifying moves whole sets, so it goes in three rounds, and pairs that are in one component by then are left out: each
-    member with the largest of its groups' hubs; with its other hubs; and the rest of its groups with each other.
-    """
-    near = members.filter((F.col("f") != F.col("a")) & (5 * F.least("n", "na") >= 4 * F.greatest("n", "na")))
-    best = near.groupBy("f", "n", "a", "na").agg(F.count(F.lit(1)).alias("times")).groupBy("f", "n").agg(F.max(F.struct("times", "a", "na")).alias("o"))
-    stars = cut(_verified(best.select(F.col("o.a").alias("a"), F.col("f").alias("b"), F.col("o.na").alias("na"), F.col("n").alias("nb")), sets), "stars")
-    apart = _placed(members, _within(stars)).filter("c <> main")
-    stars = stars.unionByName(cut(_verified(apart.select("a", F.col("f").alias("b"), "na", F.col("n").alias("nb")), sets), "stars"))
-    known = _placed(members, _within(stars)).select("k", "f", "n", "c", (F.col("c") != F.col("main")).alias("out"))
-    left = known.join(known.filter("out").select("k").distinct(), "k", "left_semi").join(prints.select("f", "keys", "signature"), "f")
-    left = cut(left, "left")
-    x, y = left.filter("out").alias("x"), left.alias("y")
-    once = ~F.col("y.out") | (F.col("x.f") < F.col("y.f"))
-    sizes = 5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n")
-    first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.k")  # a pair with several common keys is made once
-    meet = (F.col("x.k") == F.col("y.k")) & (F.col("x.c") != F.col("y.c")) & once & sizes & (alike(F.col("x.signature"), F.col("y.signature")) >= ALIKE) & first
-    pairs = x.join(y, meet).select(F.col("x.f").alias("a"), F.col("y.f").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    return stars.unionByName(_verified(cut(pairs, "pairs"), sets))
+def spanning_sets(members: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning edges of the members (id, class, number of words, shingles) whose sets have similarity 0.8 or more."""
+    heads, at = [], 0
+    while at < len(members):
+        heads.append(at)
+        at += vote_pivots.HEAD + int(members[at + 2])
+    heads = np.array(heads)
+    sizes = members[heads + 2]
+    own = np.ones(len(members), bool)
+    own[(heads[:, None] + np.arange(vote_pivots.HEAD)).ravel()] = False
+    known, numbers = np.unique(members[own], return_inverse=True)
+    ends = np.cumsum(sizes)
+    marks = np.zeros(len(known), np.int32)
+
+    def near(i: int, rest: np.ndarray) -> np.ndarray:
+        marks[numbers[ends[i] - sizes[i] : ends[i]]] = 1
+        if len(rest) < 8:
+            common = np.array([marks[numbers[ends[j] - sizes[j] : ends[j]]].sum() for j in rest], np.int64)
+        else:
+            common = np.add.reduceat(marks[numbers], ends - sizes, dtype=np.int64)[rest]
+        marks[numbers[ends[i] - sizes[i] : ends[i]]] = 0
+        return 5 * common >= 4 * (sizes[i] + sizes[rest] - common)
+
+    return vote_pivots.walk(members[heads], members[heads + 1], near)
+
+
+def links(members: DataFrame, group: int = vote_pivots.GROUP, words: int = vote_pivots.WORDS) -> DataFrame:
+    """Rows (k, f, shingles), k a class of texts that may be similar -> edges (a, b) with the components of all similar pairs."""
+    bodies = members.select("k", "f", vote_pivots.member(F.col("f"), F.col("shingles")).alias("body"))
+    return vote_pivots.class_edges(bodies, spanning_sets, group, words)

@@ -30,7 +30,7 @@ from xxhash import xxh64_intdigest
 
 from weft.checkpointing import cut
 from weft.components import connected_components
-from weft.llm import shingle_sets
+from weft.llm import shingle_sets, vote_pivots
 from weft.llm._common import bound_batches, quoted, spare, table, utf8
 
 BITS, SEED, SHINGLE = 64, 42, 3
@@ -154,18 +154,22 @@ def _labelled(rows: DataFrame, prints: DataFrame, edges: DataFrame) -> DataFrame
     return rows.join(members, "f").select("doc_id", "text_hash", "f", "component_id")
 
 
-def _similar(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows as of near_duplicates, with components of five-word Jaccard similarity 0.8 or more; f stands for the words."""
+def _similar(df: DataFrame, id_col: str, text_col: str, group: int = GROUP) -> DataFrame:
+    """Rows as of near_duplicates, with components of five-word Jaccard similarity 0.8 or more; f stands for the words.
+
+    Wide fingerprints that meet in a table of nearest pivots and verify by popcounts make classes; the exact check of the
+    shingle sets follows within them.
+    """
     bound_batches(df.sparkSession)
     source = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     rows = cut(source.select("doc_id", "text_hash", shingle_sets.sketch_column(F.col("text")).alias("s")).select("doc_id", "text_hash", "s.*"), "sketches")
     place = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
-    prints = cut(rows.groupBy("f").agg(F.min("doc_id").alias("first"), F.min(place).alias("o"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("signature").alias("signature")), "distinct")
-    members = shingle_sets.grouped(prints)
-    wanted = prints.join(members.select("f").distinct(), "f").select("f", _key(F.col("o.i")).alias("i"), F.col("o.h").alias("text_hash"))
-    texts = source.withColumn("i", _key(F.col("doc_id"))).join(wanted, ["i", "text_hash"]).select("f", shingle_sets.set_column(F.col("text")).alias("shingles"))
-    sets = cut(texts.groupBy("f").agg(F.first("shingles").alias("shingles")), "sets")
-    return _labelled(rows, prints, shingle_sets.links(members, sets, prints))
+    prints = cut(rows.groupBy("f").agg(F.min("doc_id").alias("first"), F.min(place).alias("o"), F.first("print").alias("print"), F.first("keys").alias("keys")), "distinct")
+    classes = cut(connected_components(vote_pivots.links(prints, group)).select(F.col("node").alias("f"), F.col("component").alias("k")), "classes")
+    wanted = prints.join(classes, "f").select("f", "k", _key(F.col("o.i")).alias("i"), F.col("o.h").alias("text_hash"))
+    texts = source.withColumn("i", _key(F.col("doc_id"))).join(wanted, ["i", "text_hash"]).select("k", "f", shingle_sets.set_column(F.col("text")).alias("shingles"))
+    sets = cut(texts.groupBy("k", "f").agg(F.first("shingles").alias("shingles")), "sets")
+    return _labelled(rows, prints, shingle_sets.links(sets, group))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
