@@ -62,6 +62,41 @@ def test_no_link_is_lost_in_groups_of_any_size(spark, monkeypatch, group, words)
     assert [found.get(i, i) for i in range(len(rows))] == want and len(set(want)) < len(rows) - 20
 
 
+def made(spark, after):
+    """The most rows that a join has made in executions since then, and the number of executions."""
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    executions = store.executionsList()
+    for i in range(after, executions.size()):
+        key = executions.apply(i).executionId()
+        nodes, values = store.planGraph(key).allNodes(), store.executionMetrics(key)
+        for j in range(nodes.size()):
+            metrics = nodes.apply(j).metrics()
+            for k in range(metrics.size() if "Join" in nodes.apply(j).name() else 0):
+                value = values.get(metrics.apply(k).accumulatorId())
+                if metrics.apply(k).name() == "number of output rows" and value.isDefined():
+                    most = max(most, int(value.get().replace(",", "")))
+    return most, executions.size()
+
+
+def test_near_copies_without_a_hub_make_no_pairs(spark, docs):
+    """Copies of a text that isn't there, most of similarity 0.76 to each other, some of 0.8: 45,000 pairs of 300 texts."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(900)]
+    base, rows = [rng.choice(words) for _ in range(1004)], []
+    for i in range(300):
+        near = i and i % 10 == 0
+        text = rows[-1][1].split() if near else list(base)
+        for at in rng.sample(range(200), 3 if near else 14):
+            text[5 * at + 2] = rng.choice(words)
+        rows.append((i, " ".join(text)))
+    sets = [shingles(t) for _, t in rows]
+    want = sorted(set(roots(len(rows), lambda i, j: similar(sets[i], sets[j]))))
+    _, before = made(spark, 1 << 30)
+    assert sorted(r.doc_id for r in m.keep_one(docs(rows)).collect()) == want and 20 < len(want) < 300
+    most, after = made(spark, before)
+    assert after > before and 0 < most <= 2 * v.TABLES * len(rows) < len(rows) ** 2 // 3  # spanning edges of each table, both ways
+
+
 def test_near_copies_meet_by_pivots_only(spark, docs, monkeypatch):
     rows = [(1, " ".join(f"w{i}" for i in range(100))), (2, " ".join(f"w{i}" for i in range(99))), (3, "other words stand here alone")]
     assert sorted(r.doc_id for r in m.keep_one(docs(rows)).collect()) == [1, 3]
