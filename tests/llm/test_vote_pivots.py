@@ -62,6 +62,23 @@ def test_no_link_is_lost_in_groups_of_any_size(spark, monkeypatch, group, words)
     assert [found.get(i, i) for i in range(len(rows))] == want and len(set(want)) < len(rows) - 20
 
 
+@pytest.mark.parametrize("copies", [3, 70, 300])
+def test_exact_check_of_few_and_many_members(copies):
+    """Small groups count by marks, large groups of copies by bitmaps, large groups of unlike sets by marks."""
+    rng = random.Random(copies)
+    for bases in (1, copies // 2):
+        sets = []
+        for i in range(copies):
+            base = list(range(1000 * (i % bases), 1000 * (i % bases) + 60))
+            for at in rng.sample(range(60), rng.randrange(0, 9)):
+                base[at] = rng.getrandbits(60)
+            sets.append(set(base))
+        members = np.concatenate([[i, i, len(x), *sorted(x)] for i, x in enumerate(sets)]).astype(np.int64)
+        edges = shingle_sets.spanning_sets(members)
+        want = roots(copies, lambda i, j: similar(sets[i], sets[j]))
+        assert len(edges) == copies - len(set(want)) and all(similar(sets[a], sets[b]) for a, b in edges)
+
+
 def made(spark, after):
     """The most rows that a join has made in executions since then, and the number of executions."""
     store, most = spark._jsparkSession.sharedState().statusStore(), 0

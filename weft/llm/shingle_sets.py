@@ -82,8 +82,25 @@ def spanning_sets(members: np.ndarray) -> list[tuple[int, int]]:
     sizes = members[heads + 2]
     own = np.ones(len(members), bool)
     own[(heads[:, None] + np.arange(vote_pivots.HEAD)).ravel()] = False
-    known, numbers = np.unique(members[own], return_inverse=True)
+    known, numbers, times = np.unique(members[own], return_inverse=True, return_counts=True)
     ends = np.cumsum(sizes)
+    ids, classes = members[heads], members[heads + 1]
+    # what only one member has is in no intersection; if the others are few, as among copies of one text, bitmaps are narrow
+    places = np.cumsum(times > 1) - 1
+    if len(heads) > 64 and 64 * len(numbers) >= len(heads) * places[-1]:
+        rows = np.zeros((len(heads), 8 * (places[-1] // 64 + 1)), np.uint8)
+        for row, end, n in zip(rows, ends, sizes, strict=True):
+            of = numbers[end - n : end]
+            flags = np.zeros(8 * len(row), bool)
+            flags[places[of[times[of] > 1]]] = True
+            row[:] = np.packbits(flags)
+        bits = rows.view(np.uint64)
+
+        def close(i: int, rest: np.ndarray) -> np.ndarray:
+            common = np.bitwise_count(bits[rest] & bits[i]).sum(axis=1, dtype=np.int64)
+            return 5 * common >= 4 * (sizes[i] + sizes[rest] - common)
+
+        return vote_pivots.walk(ids, classes, close)
     marks = np.zeros(len(known), np.int32)
 
     def near(i: int, rest: np.ndarray) -> np.ndarray:
@@ -95,7 +112,7 @@ def spanning_sets(members: np.ndarray) -> list[tuple[int, int]]:
         marks[numbers[ends[i] - sizes[i] : ends[i]]] = 0
         return 5 * common >= 4 * (sizes[i] + sizes[rest] - common)
 
-    return vote_pivots.walk(members[heads], members[heads + 1], near)
+    return vote_pivots.walk(ids, classes, near)
 
 
 def links(members: DataFrame, group: int = vote_pivots.GROUP, words: int = vote_pivots.WORDS) -> DataFrame:
