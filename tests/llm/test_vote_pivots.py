@@ -119,3 +119,41 @@ def test_near_copies_meet_by_pivots_only(spark, docs, monkeypatch):
     assert sorted(r.doc_id for r in m.keep_one(docs(rows)).collect()) == [1, 3]
     monkeypatch.setattr(v, "spanning_prints", lambda members: [])
     assert sorted(r.doc_id for r in m.keep_one(docs(rows)).collect()) == [1, 2, 3]
+
+
+def test_stars_and_lowered_edges_have_the_same_components(spark):
+    """Trees of twenty tables have many times as many edges as members; what is left has about one each."""
+    rng = random.Random(6)
+    most, dealt, trees = 300, [], []
+    for _ in range(20):
+        cells = [[x for x in range(most) if x % 3 < 2 and rng.random() < 0.6], rng.sample(range(most), 4)]
+        for ids in cells:
+            tree = [(ids[rng.randrange(i)] - 100, ids[i] - 100) for i in range(1, len(ids))]
+            got = v.stars(tree)
+            assert sorted(got) == [(min(ids) - 100, x - 100) for x in sorted(ids) if x != min(ids)]
+            dealt += got
+            trees += tree
+    edges = spark.createDataFrame(dealt, "a bigint, b bigint")
+    low = v.lowered(edges)
+    found = {r.node: r.component for r in connected_components(low).collect()}
+    assert found == {r.node: r.component for r in connected_components(spark.createDataFrame(trees, "a bigint, b bigint")).collect()}
+    assert len(set(trees)) > 5 * len(found) and low.count() <= 1.2 * len(found)
+    assert v.stars([]) == [] and v.stars([(5, 5)]) == []
+
+
+def test_near_copies_that_meet_in_all_tables_make_an_edge_each(spark, docs):
+    """The edges of 48 tables' trees made 18 rows a text in the components' joins."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(900)]
+    base, rows = [rng.choice(words) for _ in range(504)], []
+    for i in range(300):
+        text = list(base)
+        for at in rng.sample(range(100), rng.randrange(1, 7)):
+            text[5 * at + 2] = rng.choice(words)
+        rows.append((i, " ".join(text)))
+    sets = [shingles(t) for _, t in rows]
+    want = sorted(set(roots(len(rows), lambda i, j: similar(sets[i], sets[j]))))
+    _, before = made(spark, 1 << 30)
+    assert sorted(r.doc_id for r in m.keep_one(docs(rows)).collect()) == want and len(want) < 10
+    most, after = made(spark, before)
+    assert after > before and 0 < most <= 2 * len(rows)

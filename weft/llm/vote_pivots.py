@@ -123,13 +123,31 @@ def spanning_prints(members: np.ndarray) -> list[tuple[int, int]]:
     return walk(rows[:, 0], rows[:, 1], lambda i, rest: np.bitwise_count(prints[rest] ^ prints[i]).sum(axis=1, dtype=np.int64) <= LIMIT)
 
 
+def stars(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """As many edges with the same components, each from a component's smallest node.
+
+    A node then has one edge to a centre in each group, where a tree may give it any number: ``lowered`` relies on it.
+    """
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [(at, x) for x in root if (at := find(x)) != x]
+
+
 def _searched(groups: DataFrame, spanning: Spanning) -> DataFrame:
     """Rows with members, the concatenated words of a group -> edges (a, b)."""
 
     @F.pandas_udf("array<struct<a:long,b:long>>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for lists in batches:
-            yield pd.Series([[{"a": a, "b": b} for a, b in spanning(np.asarray(x, np.int64))] for x in lists])
+            yield pd.Series([[{"a": a, "b": b} for a, b in stars(spanning(np.asarray(x, np.int64)))] for x in lists])
 
     return groups.select(F.explode(of("members")).alias("e")).select("e.a", "e.b")
 
@@ -180,7 +198,18 @@ def class_edges(members: DataFrame, spanning: Spanning, group: int = GROUP, word
     return edges.unionByName(within).unionByName(_searched(_gathered(crossed, "k", "x", "y"), spanning))
 
 
+def lowered(edges: DataFrame) -> DataFrame:
+    """Stars' edges (centre a, member b) -> edges with the same components: a member's and its other centres' to its smallest.
+
+    A member has a centre in each table at most (in parts of larger groups, in each part it meets), however large its groups
+    are, so its centres fit a row; as members share centres, about an edge a member is left instead of one a table.
+    """
+    members = edges.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("centres"))
+    least = F.col("centres")[0]
+    return members.select(least.alias("a"), F.explode(F.concat(F.array("b"), F.slice("centres", 2, F.size("centres")))).alias("b")).distinct()
+
+
 def links(prints: DataFrame, group: int = GROUP) -> DataFrame:
     """Distinct (f, keys, print) -> edges (a, b) with the components of all pairs that meet in a table and verify."""
     dealt = prints.select(F.explode("keys").alias("k"), "f", member(F.col("f"), F.col("print")).alias("body"))
-    return class_edges(dealt, spanning_prints, group)
+    return lowered(class_edges(dealt, spanning_prints, group))
